@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
@@ -45,8 +47,8 @@ def to_number(df: DataFrame, col: str) -> Column:
 def clean_strict(df: DataFrame, features: list[str]) -> DataFrame:
     """Numbers or NULL; rows with any NULL feature are dropped."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in features]
-    return df.select(*rest, *[to_number(df, c).alias(c) for c in features]).dropna(
-        how="any", subset=[f"`{c}`" for c in features])
+    return df.select(*rest, *[to_number(df, c).alias(c) for c in features]).filter(
+        reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in features]))
 
 
 def numeric_columns(df: DataFrame, features: list[str]) -> list[str]:
@@ -55,9 +57,9 @@ def numeric_columns(df: DataFrame, features: list[str]) -> list[str]:
     return [c for i, c in enumerate(features) if seen[f"n{i}"] > 0]
 
 
-def clean_flexible(df: DataFrame, features: list[str]) -> DataFrame:
+def clean_flexible(df: DataFrame, features: list[str], find: bool = True) -> DataFrame:
     """Numbers, else 0; columns without any number are dropped, all rows stay."""
-    kept = numeric_columns(df, features)
+    kept = numeric_columns(df, features) if find else features
     rest = [F.col(f"`{c}`") for c in df.columns if c not in features]
     return df.select(*rest, *[F.coalesce(to_number(df, c), F.lit(0.0)).alias(c) for c in kept])
 

@@ -49,13 +49,13 @@ def score_clusters(
         if s not in INVERTED:
             raise ValueError(f"unknown scoring rule signal: {s}")
     plain = sorted({x for s in signals for x in (("intra", "kdist") if s == "combined" else (s,))})
-    raw = profiles.select(*by, "cid", "size", *[_raw_signal(s, kdist).alias(s) for s in plain])
+    raw = profiles.select(*by, "cid", "size", *[_raw_signal(s, kdist).alias(f"x_{s}") for s in plain])
     ends = raw.groupBy(*by).agg(*[g for s in plain for g in (
-        F.min(s).alias(f"lo_{s}"), F.max(s).alias(f"hi_{s}"))])
+        F.min(f"x_{s}").alias(f"lo_{s}"), F.max(f"x_{s}").alias(f"hi_{s}"))])
     wide = raw.join(F.broadcast(ends), by)
 
     def scaled(s):
-        return min_max(F.col(s), F.col(f"lo_{s}"), F.col(f"hi_{s}"), 0.5)
+        return min_max(F.col(f"x_{s}"), F.col(f"lo_{s}"), F.col(f"hi_{s}"), 0.5)
 
     entries = []
     for rule in rules or RULES:
