@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL
 
-AREAS = ["feature_queries", "filter_queries", "ingest_queries"]
+AREAS = ["feature_queries", "filter_queries", "ingest_queries", "model_queries"]
 
 
 def load():

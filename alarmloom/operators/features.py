@@ -13,17 +13,23 @@ from ..functions.vectors import width
 from ..runtime import durable
 
 
+def per_dim(df: DataFrame, aggs: list, col: str = "features", by: str | None = None) -> list:
+    """Aggregates of every dimension as (by, dim, ...) rows: D per group, combined before the shuffle.
+
+    One row per (alarm, dim) keeps the generated code small for any number of dimensions.
+    """
+    keys = [by] if by else []
+    return exploded(df, keys, col).groupBy(*keys, "dim").agg(*aggs).collect()
+
+
 def minmax_log_fit(df: DataFrame, col: str = "features", by: str | None = None) -> dict:
-    """Per-column minimum and maximum after non-finite values became 0; one pass, D x 2 numbers."""
-    dims = width(df, col)
-    aggs = []
-    for i in range(dims):
-        x = finite_or_zero(F.col(col)[i])
-        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    rows = (df.groupBy(by) if by else df.groupBy()).agg(*aggs).collect()
-    return {
-        (r[by] if by else None): [(r[f"lo{i}"], r[f"hi{i}"]) for i in range(dims)] for r in rows
-    }
+    """{group: [(min, max), ...]} per dimension after non-finite values became 0."""
+    x = finite_or_zero(F.col("value"))
+    rows = per_dim(df, [F.min(x).alias("lo"), F.max(x).alias("hi")], col, by)
+    fitted: dict = {}
+    for r in sorted(rows, key=lambda r: r["dim"]):
+        fitted.setdefault(r[by] if by else None, []).append((r["lo"], r["hi"]))
+    return fitted
 
 
 def minmax_log(
@@ -36,28 +42,28 @@ def minmax_log(
     fitted = fitted or minmax_log_fit(df, col, by)
     rest = [c for c in df.columns if c != col]
     dims = len(next(iter(fitted.values())))
-    out = []
-    for i in range(dims):
-        x = finite_or_zero(F.col(col)[i])
-        scaled = None
-        for key, ranges in fitted.items():
-            lo, hi = ranges[i]
-            span = (hi - lo) or 1.0
-            part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.lit(lo)) / F.lit(span)))
+
+    def ranges(pick):
+        out = None
+        for key, ends in fitted.items():
+            values = F.lit([float(pick(lo, hi)) for lo, hi in ends])
             if key is None:
-                scaled = part
-            else:
-                here = F.col(by) == key
-                scaled = F.when(here, part) if scaled is None else scaled.when(here, part)
-        out.append(F.log2(F.lit(1.0) + scaled))
-    return df.select(*rest, F.array(*out).alias(col))
+                return values
+            here = F.col(by) == key
+            out = F.when(here, values) if out is None else out.when(here, values)
+        return out
+
+    ready = df.select(*rest, col, ranges(lambda lo, hi: lo).alias("_lo"),
+                      ranges(lambda lo, hi: (hi - lo) or 1.0).alias("_span"))
+    scaled = [(finite_or_zero(F.col(col)[i]) - F.col("_lo")[i]) / F.col("_span")[i] for i in range(dims)]
+    out = [F.log2(F.lit(1.0) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))) for x in scaled]
+    return ready.select(*rest, F.array(*out).alias(col))
 
 
 def top_variance_dims(df: DataFrame, k: int = 20, col: str = "features") -> list[int]:
     """Dimensions by descending population variance, lower dimension first on ties."""
-    dims = width(df, col)
-    row = df.agg(*[F.var_pop(F.col(col)[i]).alias(f"v{i}") for i in range(dims)]).head()
-    return sorted(range(dims), key=lambda i: (-row[f"v{i}"], i))[:k]
+    var = {r["dim"]: r["v"] for r in per_dim(df, [F.var_pop("value").alias("v")], col)}
+    return sorted(var, key=lambda i: (-var[i], i))[:k]
 
 
 def keep_dims(df: DataFrame, dims: list[int], col: str = "features") -> DataFrame:
@@ -111,17 +117,14 @@ def robust_z(df: DataFrame, value: str, out: str = "z") -> DataFrame:
 
 
 def standardize_fit(df: DataFrame, col: str = "features") -> list[tuple[float, float]]:
-    dims = width(df, col)
-    aggs = []
-    for i in range(dims):
-        aggs += [F.avg(F.col(col)[i]).alias(f"m{i}"), F.stddev_pop(F.col(col)[i]).alias(f"s{i}")]
-    row = df.agg(*aggs).head()
-    return [(row[f"m{i}"], row[f"s{i}"] or 1.0) for i in range(dims)]
+    rows = per_dim(df, [F.avg("value").alias("m"), F.stddev_pop("value").alias("s")], col)
+    return [(r["m"], r["s"] or 1.0) for r in sorted(rows, key=lambda r: r["dim"])]
 
 
 def standardize(df: DataFrame, fitted: list[tuple[float, float]], col: str = "features") -> DataFrame:
     rest = [c for c in df.columns if c != col]
-    cols = [(F.col(col)[i] - F.lit(m)) / F.lit(s) for i, (m, s) in enumerate(fitted)]
+    mean, dev = F.lit([m for m, _ in fitted]), F.lit([s for _, s in fitted])
+    cols = [(F.col(col)[i] - mean[i]) / dev[i] for i in range(len(fitted))]
     return df.select(*rest, F.array(*cols).alias(col))
 
 

@@ -251,17 +251,34 @@ def cluster_once(points: DataFrame, choice: Choice, grid: Grid) -> Clustering:
     return graph_clusterings(points, [choice.cell["k"]], [choice.cell["res"]], grid, False)
 
 
-def score_alarms(points: DataFrame, choice: Choice, grid: Grid) -> DataFrame:
-    """(id, cid, y_true, score) of a batch under a frozen configuration; labels are not used."""
-    c = cluster_once(points, choice, grid)
+def score_alarms(
+    points: DataFrame, choice: Choice, grid: Grid, known: Clustering | None = None
+) -> DataFrame:
+    """(id, cid, y_true, score) of a batch under a frozen configuration; labels are not used.
+
+    ``known`` is a clustering of the same points that already holds the chosen cell.
+    """
+    c = known or cluster_once(points, choice, grid)
     rows, _ = scored_cells(points, c, [choice.min_size], [choice.rule])
     flat = rows.select("id", "cid", "y_true", "score")
     return durable(sc.blended(flat, c.kdist.select("id", "kdist"), [choice.blend], by=[]).drop("blend"), "alarms")
 
 
-def freeze(points: DataFrame, choice: Choice, grid: Grid) -> Choice:
+def chosen_cell(c: Clustering, choice: Choice) -> Clustering | None:
+    """The part of a sweep that belongs to the chosen cell."""
+    run = next((i for i, cell in c.cells.items() if cell == choice.cell), None)
+    if run is None:
+        return None
+    only = F.col("run") == run
+    return Clustering(c.membership.filter(only), c.kdist.filter(only), c.knn, {run: choice.cell})
+
+
+def freeze(
+    points: DataFrame, choice: Choice, grid: Grid, known: Clustering | None = None
+) -> Choice:
     """Choose the threshold on the full validation side."""
-    p = ev.evaluate_scores(score_alarms(points, choice, grid), quantile_tau=grid.quantile_tau).head()
+    p = ev.evaluate_scores(
+        score_alarms(points, choice, grid, known), quantile_tau=grid.quantile_tau).head()
     if p is None:
         return choice
     return replace(choice, tau=p["tau"], val_point={
@@ -280,17 +297,26 @@ def apply_frozen(points: DataFrame, choice: Choice, grid: Grid) -> tuple[DataFra
     return removed, metrics
 
 
-def finalize(data: Prepared, choice: Choice | None, grid: Grid) -> tuple[Choice, DataFrame] | None:
+def finalize(
+    data: Prepared, choice: Choice | None, grid: Grid, sweep: Clustering | None = None
+) -> tuple[Choice, DataFrame] | None:
+    """Threshold on the full validation side, metrics on the test side.
+
+    When the sweep already covered the whole validation side its clustering is reused as it is.
+    """
     if choice is None:
         return None
-    frozen = freeze(data.val, choice, grid)
+    known = chosen_cell(sweep, choice) if sweep is not None and data.sweep is data.val else None
+    frozen = freeze(data.val, choice, grid, known)
     return frozen, apply_frozen(data.test, frozen, grid)[1]
 
 
-def run_filter(data: Prepared, grid: Grid = Grid()) -> tuple[Choice, DataFrame] | None:
+def run_filter(
+    data: Prepared, grid: Grid = Grid(), sweep: Clustering | None = None
+) -> tuple[Choice, DataFrame] | None:
     """The full method on prepared data: sweep, blend, threshold, test metrics."""
-    c = graph_clusterings(data.sweep, list(grid.ks), list(grid.resolutions), grid)
-    return finalize(data, search(data.sweep, c, grid), grid)
+    c = sweep or graph_clusterings(data.sweep, list(grid.ks), list(grid.resolutions), grid)
+    return finalize(data, search(data.sweep, c, grid), grid, c)
 
 
 # --- baselines --------------------------------------------------------------------------------------------------
