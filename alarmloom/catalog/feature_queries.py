@@ -15,7 +15,7 @@ from .registry import ALARMS, CELLS, NORMED, RAW, SELECTED, knn_sql, query, r6
 
 def selected(spark: SparkSession, sf: str, keep: tuple = ("index", "y_true", "given_cid")) -> DataFrame:
     """Scaled alarms on their 20 most variable dimensions."""
-    x = fe.minmax_log(ad.alarms(spark, sf).select(*keep, "features"))
+    x = durable(fe.minmax_log(ad.alarms(spark, sf).select(*keep, "features")), "scaled")
     return durable(fe.keep_dims(x, fe.top_variance_dims(x, 20)), "selected")
 
 
@@ -25,7 +25,7 @@ def neighbours(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
 
 @query("fea1_minmax_log", f"WITH {NORMED} SELECT index, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS value FROM normed")
 def fea1(spark, sf):
-    x = fe.minmax_log(ad.alarms(spark, sf).select("index", "features"))
+    x = durable(fe.minmax_log(ad.alarms(spark, sf).select("index", "features")), "scaled")
     return fe.exploded(x, ["index"]).select("index", "dim", r6("value").alias("value"))
 
 
@@ -91,7 +91,7 @@ def fea6(spark, sf):
 SELECT index, CAST(dim AS INTEGER) AS dim, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 6) + 0.0 AS value FROM cells JOIN s USING (dim)""")
 def fea7(spark, sf):
     a = ad.alarms(spark, sf).select("index", "features")
-    x = fe.standardize(a, fe.standardize_fit(a))
+    x = durable(fe.standardize(a, fe.standardize_fit(a)), "scaled")
     return fe.exploded(x, ["index"]).select("index", "dim", r6("value").alias("value"))
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import add_up
-
 
 def width(df: DataFrame, col: str = "features") -> int:
     """Length of the feature array (fixed within an alarm set)."""
@@ -22,13 +20,9 @@ def names(dims: int, prefix: str = "f") -> list[str]:
 
 def unroll(df: DataFrame, dims: int, col: str = "features", prefix: str = "f") -> DataFrame:
     rest = [c for c in df.columns if c != col]
-    return df.select(*rest, *[F.col(col)[i].alias(f"{prefix}{i}") for i in range(dims)])
-
-
-def pack(df: DataFrame, cols: list[str], col: str = "features") -> DataFrame:
-    rest = [c for c in df.columns if c not in set(cols)]
-    return df.select(*rest, F.array(*cols).alias(col))
+    return df.selectExpr(*[f"`{c}`" for c in rest], *[f"{col}[{i}] AS {prefix}{i}" for i in range(dims)])
 
 
-def squared_distance(left: list[Column], right: list[Column]) -> Column:
-    return add_up([(a - b) * (a - b) for a, b in zip(left, right)])
+def squared_distance(left: list[str], right: list[str]) -> Column:
+    """Sum of squared differences of two lists of SQL expressions, added from left to right."""
+    return F.expr(" + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(left, right)))

@@ -123,21 +123,20 @@ def cluster_profiles(
     rows = durable(rows, "profile")
     sums = durable(rows.groupBy(*by, "cid").agg(
         F.count("*").alias("size"), F.avg("kdist").alias("avg_kdist"),
-        *[F.sum(c).alias(f"s_{c}") for c in f]), "centroids")
-    centre = [F.col(f"s_{c}") / F.col("size") for c in f]
+        *[F.expr(f"sum({c}) AS s_{c}") for c in f]), "centroids")
+    centre = [f"(s_{c} / size)" for c in f]
+    anchor = ", ".join(f"'a_{c}', {e}" for e, c in zip(centre, f))
     whole = sums.groupBy(*by).agg(
-        *[(F.sum(f"s_{c}") / F.sum("size")).alias(f"g_{c}") for c in f],
-        F.max_by(F.struct(*[e.alias(f"a_{c}") for e, c in zip(centre, f)]),
-                 F.struct("size", -F.col("cid"))).alias("anchor"))
+        *[F.expr(f"sum(s_{c}) / sum(size) AS g_{c}") for c in f],
+        F.expr(f"max_by(named_struct({anchor}), named_struct('n', size, 'c', -cid)) AS anchor"))
     spread = lookup_join(
         rows.select(*by, "id", "cid", *f),
-        sums.select(*by, "cid", *[e.alias(f"c_{c}") for e, c in zip(centre, f)]),
+        sums.selectExpr(*by, "cid", *[f"{e} AS c_{c}" for e, c in zip(centre, f)]),
         [*by, "cid"], ["id"],
-    ).select(*by, "cid", F.sqrt(squared_distance(
-        [F.col(c) for c in f], [F.col(f"c_{c}") for c in f])).alias("d")).groupBy(*by, "cid").agg(
-            F.avg("d").alias("avg_intra_dist"), F.max("d").alias("max_radius"))
-    to_global = F.sqrt(squared_distance(centre, [F.col(f"g_{c}") for c in f]))
-    to_anchor = F.sqrt(squared_distance(centre, [F.col(f"anchor.a_{c}") for c in f]))
+    ).select(*by, "cid", F.sqrt(squared_distance(f, [f"c_{c}" for c in f])).alias("d")).groupBy(
+        *by, "cid").agg(F.avg("d").alias("avg_intra_dist"), F.max("d").alias("max_radius"))
+    to_global = F.sqrt(squared_distance(centre, [f"g_{c}" for c in f]))
+    to_anchor = F.sqrt(squared_distance(centre, [f"anchor.a_{c}" for c in f]))
     density = F.col("size") / (F.col("avg_intra_dist") + F.lit(1e-6))
     return sums.join(F.broadcast(whole), by).join(spread, [*by, "cid"]).select(
         *by, "cid", "size", F.log1p(F.col("size").cast("double")).alias("log_size"),

@@ -67,14 +67,13 @@ class ReconstructionDetector:
         d = len(self.axes)
         x = self.scaler.transform(_vectors(df)).select(
             *df.columns, vector_to_array("_s").alias("_z"))
-        z = [F.col("_z")[i] for i in range(d)]
         q = len(self.axes[0])
-        dots = [sum((z[i] * F.lit(self.axes[i][j]) for i in range(1, d)), z[0] * F.lit(self.axes[0][j]))
-                for j in range(q)]
-        coded = x.select(*df.columns, "_z", *[c.alias(f"_c{j}") for j, c in enumerate(dots)])
-        back = [sum((F.col(f"_c{j}") * F.lit(self.axes[i][j]) for j in range(1, q)),
-                    F.col("_c0") * F.lit(self.axes[i][0])) for i in range(d)]
-        return coded.select(*df.columns, (squared_distance(z, back) / F.lit(float(d))).alias("err"))
+        coded = [" + ".join(f"_z[{i}] * ({self.axes[i][j]!r}D)" for i in range(d)) for j in range(q)]
+        x = x.selectExpr(*df.columns, "_z", *[f"{c} AS _c{j}" for j, c in enumerate(coded)])
+        back = ["(" + " + ".join(f"_c{j} * ({self.axes[i][j]!r}D)" for j in range(q)) + ")"
+                for i in range(d)]
+        err = squared_distance([f"_z[{i}]" for i in range(d)], back) / F.lit(float(d))
+        return x.select(*df.columns, err.alias("err"))
 
     def predict(self, df: DataFrame) -> DataFrame:
         scored = self.errors(df)

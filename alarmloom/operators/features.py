@@ -13,51 +13,38 @@ from ..functions.vectors import width
 from ..runtime import durable
 
 
-def per_dim(df: DataFrame, aggs: list, col: str = "features", by: str | None = None) -> list:
-    """Aggregates of every dimension as (by, dim, ...) rows: D per group, combined before the shuffle.
+def per_dim(df: DataFrame, aggs: list, col: str = "features") -> list:
+    """Aggregates of every dimension as (dim, ...) rows: D rows, combined before the shuffle.
 
     One row per (alarm, dim) keeps the generated code small for any number of dimensions.
     """
-    keys = [by] if by else []
-    return exploded(df, keys, col).groupBy(*keys, "dim").agg(*aggs).collect()
+    rows = exploded(df, [], col).groupBy("dim").agg(*aggs).collect()
+    return sorted(rows, key=lambda r: r["dim"])
 
 
-def minmax_log_fit(df: DataFrame, col: str = "features", by: str | None = None) -> dict:
-    """{group: [(min, max), ...]} per dimension after non-finite values became 0."""
+def minmax_log_fit(df: DataFrame, col: str = "features") -> list[tuple[float, float]]:
+    """(min, max) of each dimension after non-finite values became 0."""
     x = finite_or_zero(F.col("value"))
-    rows = per_dim(df, [F.min(x).alias("lo"), F.max(x).alias("hi")], col, by)
-    fitted: dict = {}
-    for r in sorted(rows, key=lambda r: r["dim"]):
-        fitted.setdefault(r[by] if by else None, []).append((r["lo"], r["hi"]))
-    return fitted
+    return [(r["lo"], r["hi"]) for r in per_dim(df, [F.min(x).alias("lo"), F.max(x).alias("hi")], col)]
 
 
 def minmax_log(
-    df: DataFrame, col: str = "features", by: str | None = None, fitted: dict | None = None
+    df: DataFrame, col: str = "features", fitted: list[tuple[float, float]] | None = None
 ) -> DataFrame:
     """Non-finite to 0, min-max to [0, 1], then log2(1 + x).
 
-    ``by`` fits each batch (validation, test) on itself; ``fitted`` reuses ranges fitted elsewhere.
+    Fitted on the rows themselves, or with ``fitted`` ranges from elsewhere, which need clipping.
     """
-    fitted = fitted or minmax_log_fit(df, col, by)
+    clip = fitted is not None
+    fitted = fitted or minmax_log_fit(df, col)
     rest = [c for c in df.columns if c != col]
-    dims = len(next(iter(fitted.values())))
-
-    def ranges(pick):
-        out = None
-        for key, ends in fitted.items():
-            values = F.lit([float(pick(lo, hi)) for lo, hi in ends])
-            if key is None:
-                return values
-            here = F.col(by) == key
-            out = F.when(here, values) if out is None else out.when(here, values)
-        return out
-
-    ready = df.select(*rest, col, ranges(lambda lo, hi: lo).alias("_lo"),
-                      ranges(lambda lo, hi: (hi - lo) or 1.0).alias("_span"))
-    scaled = [(finite_or_zero(F.col(col)[i]) - F.col("_lo")[i]) / F.col("_span")[i] for i in range(dims)]
-    out = [F.log2(F.lit(1.0) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))) for x in scaled]
-    return ready.select(*rest, F.array(*out).alias(col))
+    cells = []
+    for i, (lo, hi) in enumerate(fitted):
+        x = f"{col}[{i}]"
+        # NaN and infinities fail the comparison, NULL leaves it undecided: all become 0
+        scaled = f"(if(abs({x}) <= 1.7976931348623157E308D, {x}, 0D) - ({lo!r}D)) / {(hi - lo) or 1.0!r}D"
+        cells.append(f"log2(1D + greatest(0D, least(1D, {scaled})))" if clip else f"log2(1D + {scaled})")
+    return df.select(*rest, F.expr(f"array({', '.join(cells)})").alias(col))
 
 
 def top_variance_dims(df: DataFrame, k: int = 20, col: str = "features") -> list[int]:
@@ -68,7 +55,7 @@ def top_variance_dims(df: DataFrame, k: int = 20, col: str = "features") -> list
 
 def keep_dims(df: DataFrame, dims: list[int], col: str = "features") -> DataFrame:
     rest = [c for c in df.columns if c != col]
-    return df.select(*rest, F.array(*[F.col(col)[i] for i in dims]).alias(col))
+    return df.select(*rest, F.expr(f"array({', '.join(f'{col}[{i}]' for i in dims)})").alias(col))
 
 
 def exploded(df: DataFrame, keep: list[str], col: str = "features") -> DataFrame:
@@ -118,14 +105,13 @@ def robust_z(df: DataFrame, value: str, out: str = "z") -> DataFrame:
 
 def standardize_fit(df: DataFrame, col: str = "features") -> list[tuple[float, float]]:
     rows = per_dim(df, [F.avg("value").alias("m"), F.stddev_pop("value").alias("s")], col)
-    return [(r["m"], r["s"] or 1.0) for r in sorted(rows, key=lambda r: r["dim"])]
+    return [(r["m"], r["s"] or 1.0) for r in rows]
 
 
 def standardize(df: DataFrame, fitted: list[tuple[float, float]], col: str = "features") -> DataFrame:
     rest = [c for c in df.columns if c != col]
-    mean, dev = F.lit([m for m, _ in fitted]), F.lit([s for _, s in fitted])
-    cols = [(F.col(col)[i] - mean[i]) / dev[i] for i in range(len(fitted))]
-    return df.select(*rest, F.array(*cols).alias(col))
+    cells = [f"({col}[{i}] - ({m!r}D)) / {s!r}D" for i, (m, s) in enumerate(fitted)]
+    return df.select(*rest, F.expr(f"array({', '.join(cells)})").alias(col))
 
 
 # --- bit encoding -----------------------------------------------------------------------------

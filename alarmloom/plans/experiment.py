@@ -19,6 +19,7 @@ from ..operators import graph as gr
 from ..operators import neighbors as nb
 from ..operators import sampling as sa
 from ..operators import scoring as sc
+from ..functions.vectors import width
 from ..runtime import durable, local_rows, union_all
 
 SWEEP_CAP, BASELINE_CAP = 20_000, 5_000
@@ -78,12 +79,13 @@ def prepare(alarms: DataFrame, grid: Grid = Grid()) -> Prepared | None:
         durable(alarms.select("index", "features", "y_true"), "alarms"), grid.val_ratio, grid.seed)
     if cut is None:
         return None
-    scaled = durable(fe.minmax_log(durable(cut, "cut"), by="side"), "scaled")
-    sides = {s: scaled.filter(F.col("side") == s).drop("side") for s in ("val", "test")}
+    cut = durable(cut, "cut")
+    sides = {s: durable(fe.minmax_log(cut.filter(F.col("side") == s).drop("side")), s)
+             for s in ("val", "test")}
     if grid.feature_selection:
         dims = fe.top_variance_dims(sides["val"], grid.top_features)
     else:
-        dims = list(range(fe.width(sides["val"])))
+        dims = list(range(width(sides["val"])))
     val = durable(fe.keep_dims(sides["val"], dims), "val")
     test = durable(fe.keep_dims(sides["test"], dims), "test")
     sweep = sa.capped_subsample(val, grid.sweep_cap, "index", grid.seed)
