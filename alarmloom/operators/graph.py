@@ -6,7 +6,7 @@ step instead of one loop per cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import dense_rank_global, running_totals
@@ -105,10 +105,9 @@ def connected_components(
         star = linked.filter(F.col("v") != F.col("m")).select(
             by, F.col("v").alias("u"), F.col("m").alias("v")
         ).unionByName(small_low.select(by, "u", F.col("m").alias("v"))).distinct()
-        seen = Observation()
-        e = durable(star.observe(seen, F.count("*").alias("n"), F.sum(
-            F.xxhash64(by, "u", "v").cast("decimal(38,0)")).alias("h")), "cc")
-        sign = (seen.get["n"], seen.get["h"])
+        e = durable(star, "cc")
+        sign = e.agg(F.expr("count(*) AS n"),
+                     F.expr(f"sum(cast(xxhash64({by}, u, v) AS decimal(38, 0))) AS h")).head()
         if sign == last:
             break
         last = sign
@@ -155,33 +154,28 @@ def _superstep(edges: DataFrame, state: DataFrame, params: DataFrame, n: int) ->
     move (of 1024) and a tick for the coin. It comes as a table, so every superstep has the same
     generated code.
     """
-    totals = state.groupBy("run", "cid").agg(F.sum("k").alias("kc"))
-    where = state.select("run", F.col("id").alias("dst"), "cid")
-    toward = lookup_join(edges, where, ["run", "dst"], ["src"], "inner", n).select("run", "src", "cid", "w")
+    totals = state.groupBy("run", "cid").agg(F.expr("sum(k) AS kc"))
+    where = state.selectExpr("run", "id AS dst", "cid")
+    toward = lookup_join(edges, where, ["run", "dst"], ["src"], "inner", n).select(
+        "run", "src", "cid", "w")
     # staying and going back to an own community are always candidates
-    own = state.select("run", F.col("id").alias("src"), F.explode(F.array("cid", "id")).alias("cid"),
-                       F.lit(0.0).alias("w"))
-    links = toward.unionByName(own).groupBy("run", "src", "cid").agg(F.sum("w").alias("link"))
+    own = state.selectExpr("run", "id AS src", "explode(array(cid, id)) AS cid", "0D AS w")
+    links = toward.union(own).groupBy("run", "src", "cid").agg(F.expr("sum(w) AS link"))
     links = lookup_join(links, totals, ["run", "cid"], ["src"], "left", n)
-    now = state.select("run", F.col("id").alias("src"), "k", "self", F.col("cid").alias("old"))
-    now = now.join(F.broadcast(params), "run")
-    links = lookup_join(links, now, ["run", "src"], ["cid"], "inner", n)
-    here = F.col("cid") == F.col("old")
-    others = F.coalesce("kc", F.lit(0.0)) - F.when(here, F.col("k")).otherwise(0.0)
-    scored = links.withColumn("gain", F.col("link") - F.col("coef") * F.col("k") * others)
+    now = state.selectExpr("run", "id AS src", "k", "self", "cid AS old").join(
+        F.broadcast(params), "run")
+    scored = lookup_join(links, now, ["run", "src"], ["cid"], "inner", n).selectExpr(
+        "*", "link - coef * k * (coalesce(kc, 0D) - if(cid = old, k, 0D)) AS gain")
     best = scored.groupBy("run", "src").agg(
-        F.max_by(F.struct("cid", "gain"), F.struct(F.round("gain", 9), -F.col("cid"))).alias("b"),
-        F.max(F.when(here, F.col("gain"))).alias("stay"),
-        F.max(F.when(here, F.col("link"))).alias("own"),
-        F.max(F.when(here, F.col("kc"))).alias("kc"),
-        F.first(F.struct("k", "self", "old", "share", "tick")).alias("v"),
-    )
-    wants = F.col("b.gain") > F.col("stay") + _GAIN_EPS
-    coin = F.pmod(F.xxhash64("src", "v.tick"), F.lit(1024)) < F.col("v.share")
-    return best.select(
-        "run", F.col("src").alias("id"), "v.k", "v.self", "own", "kc", wants.alias("wants"),
-        F.when(wants & coin, F.col("b.cid")).otherwise(F.col("v.old")).alias("cid"),
-    )
+        F.expr("max_by(struct(cid, gain), struct(round(gain, 9), -cid)) AS b"),
+        F.expr("max(if(cid = old, gain, null)) AS stay"),
+        F.expr("max(if(cid = old, link, null)) AS own"),
+        F.expr("max(if(cid = old, kc, null)) AS kc"),
+        F.expr("first(struct(k, self, old, share, tick)) AS v"))
+    return best.selectExpr(
+        "run", "src AS id", "v.k", "v.self", "own", "kc", f"b.gain > stay + {_GAIN_EPS!r}D AS wants",
+        f"if(b.gain > stay + {_GAIN_EPS!r}D AND pmod(xxhash64(src, v.tick), 1024) < v.share, "
+        "b.cid, v.old) AS cid")
 
 
 def _local_moves(edges, state, runs: dict, two_m: dict, n: int, seed: int, level: int, cap: int):
@@ -200,24 +194,20 @@ def _local_moves(edges, state, runs: dict, two_m: dict, n: int, seed: int, level
         live = F.broadcast(params.select("run"))
         current = states[-1].join(live, "run", "left_semi")
         step = _superstep(edges.join(live, "run", "left_semi"), current, params, n)
-        # the quality of the old state is a sum over vertices, observed while the new one is written
-        seen = Observation()
-        sums = {"inner": F.col("own") + F.col("self"), "kk": F.col("k") * F.col("kc"),
-                "wants": F.col("wants").cast("int")}
-        nxt = durable(step.observe(seen, *[
-            F.sum(F.when(F.col("run") == r, x)).alias(f"{name}_{r}")
-            for r in runs for name, x in sums.items()]), "move")
-        got = seen.get
-        for r in sorted(active):
-            m2 = two_m[r]
-            q = got[f"inner_{r}"] / m2 - runs[r] * got[f"kk_{r}"] / (m2 * m2)
+        nxt = durable(step, "move")
+        # the quality of the old state is a sum over vertices
+        seen = nxt.groupBy("run").agg(F.expr("sum(own + self) AS inner"), F.expr("sum(k * kc) AS kk"),
+                                      F.expr("count_if(wants) AS wants")).collect()
+        for got in seen:
+            r, m2 = got["run"], two_m[got["run"]]
+            q = got["inner"] / m2 - runs[r] * got["kk"] / (m2 * m2)
             gained = q - best[r][0] if r in best else 1.0
             if gained > 0:
                 best[r] = (q, t)
             if gained <= _STALL:
                 falls[r] += 1
                 share[r] = max(64, share[r] // 2)
-            if got[f"wants_{r}"] == 0 or falls[r] >= 2:
+            if got["wants"] == 0 or falls[r] >= 2:
                 active.discard(r)
         if not active or t == cap:
             break
