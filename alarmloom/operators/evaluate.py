@@ -53,7 +53,7 @@ def threshold_curve(
 def curve_auc(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Trapezoid area over r_tpr with the corners (0,0) and (1,1); the curve ends in (1,1)."""
     piece = (F.col("r_tpr") - F.col("prev_tp")) * (F.col("r_fpr") + F.col("prev_fp")) / 2
-    return curve.groupBy(*(by or [])).agg(F.sum(piece).alias("auc"))
+    return curve.groupBy(*(by or [])).agg(F.sum(piece).alias("auc")).filter(F.col("auc").isNotNull())
 
 
 def cer(r_fpr: Column, r_tpr: Column, floor: float = RTPR_FLOOR) -> Column:
@@ -88,7 +88,7 @@ def operating_point(
         F.max_by(row, F.struct(profit.alias("s"), F.col("tau"))).alias("c"),
         F.sum(piece).alias("auc"))
     pick = F.coalesce("a", "b", "c")
-    return best.select(
+    return best.filter(pick.isNotNull()).select(
         *by, pick.alias("p"), "auc",
         F.when(F.col("a").isNotNull(), "constraints").when(F.col("b").isNotNull(), "budget")
         .otherwise("profit").alias("source"),
@@ -172,5 +172,7 @@ def evaluate_scores(
     auc = curve_auc(curve, by)
     if by:
         return at.join(F.broadcast(auc), by)
-    area = auc.head()["auc"]
-    return at.withColumn("auc", F.lit(area))
+    area = auc.head()
+    if area is None:  # a class is missing: no curve, no metrics
+        return at.withColumn("auc", F.lit(None).cast("double")).filter(F.lit(False))
+    return at.withColumn("auc", F.lit(area["auc"]))
