@@ -180,7 +180,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, **blocks) -> Dat
         F.lit(0).cast("long").alias("graph"), "src", "dst")
     comp = durable(connected_components(links, ids), "comp").select("id", F.col("comp").alias("cid"))
     parts = [comp.select("id", "cid", F.lit("core").alias("kind"))]
-    # border: lowest cluster among the core rows within eps, one candidate per cluster and block
+    # border: lowest cluster among the core rows within eps; a loose row has fewer than min_samples
+    # neighbours, so these pairs are at most min_samples per row
     reach = range_join(loose, eps, "pairs", others=cores, **blocks)
     border = lookup_join(reach.select("src", "dst"), comp.withColumnRenamed("id", "dst"),
                          ["dst"], ["src"]).groupBy("src").agg(F.min("cid").alias("cid"))
