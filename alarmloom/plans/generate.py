@@ -18,9 +18,9 @@ def generate_alarms(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions on the test split, metrics, false-positive stats); writes them below ``out_dir``.
 
-    ``data`` is (index, features, y_true). The marker features of packet flows use boosted trees.
+    ``data`` is (index, features, y_true). Model "markers" stands for marker features of packet flows and uses boosted trees.
     """
-    kind = "xgb" if model == "FlowLens" else model
+    kind = "xgb" if model == "markers" else model
     cut = durable(train_test_split(
         data.select("index", "features", "y_true"), "y_true", "index", test_size, seed), "cut")
     train = cut.filter("split = 'train'").drop("split")

@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Seconds since 1970 of a timestamp without time zone, whatever the session time zone is.
+_AGE = "(ts - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+EPOCH_SECONDS = (
+    f"((extract(DAY FROM {_AGE}) * 86400L + extract(HOUR FROM {_AGE}) * 3600L"
+    f" + extract(MINUTE FROM {_AGE}) * 60L) * 1000000L"
+    f" + cast(extract(SECOND FROM {_AGE}) * 1000000 AS bigint)) / 1e6D"
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,7 +65,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("long").alias("event_id"),
         F.when(F.col("event_type") == "error", "attack/a.pcap")
         .otherwise("benign/b.pcap").alias("pcap_path"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"),
+        F.expr(EPOCH_SECONDS).alias("ts"),
         F.when(even, peer).otherwise("10.0.1.1").alias("src_ip"),
         F.when(even, F.lit("10.0.1.1")).otherwise(peer).alias("dst_ip"),
         F.when(even, port).otherwise(443).alias("sport"),
