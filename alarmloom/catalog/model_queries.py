@@ -316,7 +316,7 @@ def pipe7(spark, sf):
 
 @query("pipe7_dbscan_variant")
 def pipe7_full(spark, sf):
-    got = ab.with_dbscan(prepared(spark, sf), GRID, [0.75, 0.85, 1.0])
+    got = ab.with_dbscan(prepared(spark, sf), GRID)
     if got is None:
         return spark.createDataFrame([], "tau double, r_fpr double, r_tpr double, cer double, auc double, "
                                          "cell string, min_size int, rule string, blend double")
