@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, neighbors, packing, rules, sharding, toxicity
+from . import bpe, chat, counts, neighbors, packing, rules, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, score = toxicity.score(docs, model)
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score,
                       (F.col(score) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.components(docs)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
