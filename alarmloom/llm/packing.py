@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import read_ranks
 from .common import id_and_text, tune
-from .pretokens import WordCache, id_bytes, slices
+from .pretokens import id_bytes
 
 LENGTH = 1024
 GROUP_BYTES = 2 * 1024 * 1024
@@ -47,51 +48,26 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
 
 
 class Ids:
-    """Ids of whole texts as the tokenizers library gives them, with the end id: the library encodes the
-    pre-tokens that a worker meets first."""
-
-    def __init__(self, path: str, end: int):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        added = model.get_added_tokens_decoder()
-        self.special = {t.content: id_bytes([i]) for i, t in added.items()}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        model.encode_special_tokens = True
-        self.cache = WordCache(lambda words: [
-            id_bytes(e.ids) for e in model.encode_batch(words, add_special_tokens=False)])
-        self.end = id_bytes([end])
-
-    def __call__(self, texts: list[str]):
-        for part in slices(texts):
-            plain = [t for t in part if not any(s in t for s in self.special)]
-            ready = self.cache.values([self.find(t) for t in plain])
-            for t in part:
-                if any(s in t for s in self.special):
-                    yield self.mixed(t)
-                else:
-                    yield b"".join(next(ready)) + self.end
-
-    def mixed(self, text: str) -> bytes:
-        parts = self.split(text)
-        out = [self.special[p] if p in self.special else b"".join(next(WordCache(self.cache.compute).values([self.find(p)])))
-               for p in parts]
-        return b"".join(out) + self.end
+    """Ids of whole texts with the end id. The rank file holds the vocabulary of the tokenizers library's file, and
+    ``special`` its special token, which a text may name."""
+
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int], end: int):
+        import tiktoken
+
+        self.code = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=special)
+        self.special, self.end = set(special), id_bytes([end])
+
+    def __call__(self, text: str) -> bytes:
+        ids = self.code.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+        return ids.astype("<u4").tobytes() + self.end
 
 
 class _Pack:
-    def __init__(self, path: str, end: int, length: int):
-        self.path, self.end, self.length = path, end, length
-        self.ids = None
+    def __init__(self, length: int, *encoder):
+        self.length, self.encoder, self.ids = length, encoder, None
 
     def __getstate__(self):
-        return self.path, self.end, self.length
+        return self.length, *self.encoder
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -100,13 +76,14 @@ class _Pack:
         import pyarrow as pa
 
         if self.ids is None:
-            self.ids = Ids(self.path, self.end)
+            self.ids = Ids(*self.encoder)
         group, length = key[0].as_py(), self.length
         # the same rows give the same pieces, in whatever order they arrive
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()),
                       key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         pieces = []
-        for (doc, _), ids in zip(rows, self.ids([t for _, t in rows])):
+        for doc, text in rows:
+            ids = self.ids(text)
             n = len(ids) // 4
             pieces += [(doc, s, min(length, n - s), ids[4 * s:4 * min(s + length, n)], n) for s in range(0, n, length)]
         bins, offsets = first_fit_decreasing([p[2] for p in pieces], length)
@@ -119,8 +96,8 @@ class _Pack:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    group_bytes: int = GROUP_BYTES,
+    docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], length: int = LENGTH, end: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """``PIECES``: every id of every document in exactly one piece, pieces gapless in their sequence.
 
@@ -131,5 +108,5 @@ def pack(
     total = rows.agg(F.sum(F.octet_length("text").cast("long") + 8)).head()[0] or 0
     groups = max(1, -(-total // group_bytes))
     group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), F.lit(groups)).alias("grp")
-    one = _Pack(tokenizer, end, length)
+    one = _Pack(length, ranks_path, pattern, special, end)
     return rows.select(group, "doc_id", "text").groupBy("grp").applyInArrow(lambda key, table: one(key, table), PIECES)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, counts, neighbors, packing, rules, sharding, simhash, substrings, toxicity
 
+# Rank file of the vocabulary of byte_bpe_50k.json, its pattern and its special token.
+PACKING = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, *PACKING)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
