@@ -187,8 +187,8 @@ def _open_windows(batches):
 class _Cut:
     """Texts without the words under repeated windows; a removed run goes with the white space before it."""
 
-    def __init__(self, at: int):
-        self.at = at
+    def __init__(self, at: int, names: list[str]):
+        self.at, self.names = at, names
 
     def __call__(self, batches):
         import pyarrow as pa
@@ -223,7 +223,7 @@ class _Cut:
                     out.append(b"".join(keep).decode())
             arrays = [pa.array(out, pa.string()) if i == k else b.column(i) for i in range(b.num_columns - 2)]
             arrays += [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:-2], "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:-2], *self.names])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +263,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = identity(docs, id_col, text_col)
     keyed = docs.select("*", keys[0].alias(rid), keys[1].alias(rhash))
     rows = keyed.join(lost, [rid, rhash], "left").select(*map(col, docs.columns), windows, factors)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(spans, T.ArrayType(
         T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))])
-    cut = rows.mapInArrow(_Cut(docs.columns.index(text_col)), schema)
-    return cut.toDF(*docs.columns, n_words, spans), n_words, spans
+    return rows.mapInArrow(_Cut(docs.columns.index(text_col), [n_words, spans]), schema), n_words, spans
