@@ -12,6 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import BROADCAST_LIMIT, planned_bytes
+
+# A key with more than this part of all rows is joined by broadcast: there are at most so many.
+HOT_KEYS = 2048
+
 # What stands for a null id inside joins, so that it equals itself.
 NULL_ID = -(2**63)
 
@@ -53,3 +58,17 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def share_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their key's row in ``lookup`` (keys, n, ...), where n counts the rows of a key.
+
+    A small written ``lookup`` is broadcast. Of a larger one only the keys that hold more than 1 / HOT_KEYS of the counted
+    rows are, at most HOT_KEYS of them; the rows of all other keys meet in a shuffle."""
+    if planned_bytes(lookup) <= BROADCAST_LIMIT:
+        return rows.join(F.broadcast(lookup), keys, how)
+    limit = (lookup.agg(F.sum("n")).head()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(lookup.filter(F.col("n") > limit))
+    cold = lookup.filter(F.col("n") <= limit)
+    rest = rows.join(F.broadcast(lookup.filter(F.col("n") > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys, how))

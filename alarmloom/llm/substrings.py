@@ -3,18 +3,18 @@
 A passage repeats if each of its windows of ``WINDOW`` words also starts in a document with a smaller id. Every
 document is parsed against the documents before it, in two steps:
 
-* Long factors. Texts are cut into phrases at places that depend on the words alone (64 words on average); a phrase
+* Long factors. Texts are cut into phrases at places that depend on the words alone (32 words on average); a phrase
   is taken with the ``WINDOW`` - 1 words that follow it, so that it holds whole windows only. The phrases of all
   documents are the indexed reference, one block for every partition of the hash space. A phrase whose
   reference occurs in a smaller document is one factor: all its windows repeat.
 * Factor boundaries. The first occurrence of any window lies in a phrase that is no factor, so only the windows of
-  such phrases are left. Each window is named by one anchor in it, the 5-word sequence of least hash. Windows whose anchor
+  such phrases are left. Each window is named by one anchor in it, the 7-word sequence of least hash. Windows whose anchor
   occurs in one document only cannot repeat; the others are looked up in the index of windows, which
   extends the factors to the word and finds those that are shorter than a phrase.
 
 Sequences are compared by two independent 64-bit hashes. Everything is shuffled by hash or by document, never
-by passage; minima are combined before the shuffle, and the way back is a broadcast below a checked size or a
-salted join, so that a passage in a third of all documents stays harmless.
+by passage; minima are combined before the shuffle, and on the way back the keys with a large share of all rows are joined by
+broadcast, so that a passage in a third of all documents stays harmless.
 
 Words are runs without white space. Null texts are empty; a null id is the least id; rows with equal ids do not
 repeat each other (repeated rows therefore get equal results); texts of fewer than 13 words lose nothing; no rows give no
@@ -27,13 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable, lookup_join
-from .common import col, fresh, identity, tune
+from ..runtime import durable
+from .common import col, fresh, identity, share_join, tune
 from .pretokens import slices
 
 WINDOW = 13
-GRAM = 5
-PHRASE = 64
+GRAM = 7
+PHRASE = 32
 
 _rng = np.random.default_rng(2009)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -233,22 +233,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(*identity(docs, id_col, text_col), F.coalesce(col(text_col), F.lit("")).alias("text"))
     phrases = durable(rows.mapInArrow(_parse, "rid long, rhash long, start int, n int, h1 long, h2 long, anchors array<long>"), "rlz")
 
-    known = durable(phrases.groupBy("h1", "h2").agg(F.min("rid").alias("owner"), F.max("rid").alias("last")).filter(
-        "owner < last").select("h1", "h2", "owner"), "rlz")
-    owned = lookup_join(phrases, known, ["h1", "h2"], ["rid", "start"], "left")
+    times = F.count(F.lit(1)).alias("n")
+    known = durable(phrases.groupBy("h1", "h2").agg(F.min("rid").alias("owner"), times).filter("n > 1"), "rlz")
+    owned = share_join(phrases.withColumnRenamed("n", "size"), known, ["h1", "h2"], "left")
     factors = durable(owned.filter("owner < rid").groupBy("rid", "rhash").agg(
-        F.collect_set(F.struct("start", "n")).alias("factors")), "rlz")
+        F.collect_set(F.struct("start", F.col("size").alias("n"))).alias("factors")), "rlz")
 
     anchors = owned.filter("owner is null or owner >= rid").select("rid", "rhash", F.explode("anchors").alias("anchor"))
-    shared = durable(anchors.groupBy("anchor").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).filter("x < y").select("anchor"), "rlz")
-    open_docs = lookup_join(anchors, shared, ["anchor"], ["rid"]).groupBy("rid", "rhash").agg(F.collect_set("anchor").alias("shared"))
+    shared = durable(anchors.groupBy("anchor").agg(F.min("rid").alias("x"), F.max("rid").alias("y"), times).filter("x < y").select(
+        "anchor", "n"), "rlz")
+    open_docs = share_join(anchors, shared, ["anchor"]).groupBy("rid", "rhash").agg(F.collect_set("anchor").alias("shared"))
     look = durable(open_docs.join(factors, ["rid", "rhash"], "left"), "rlz")
     windows = durable(rows.join(look, ["rid", "rhash"]).select("rid", "rhash", "text", "shared", "factors").mapInArrow(
         _open_windows, "rid long, rhash long, at int, w1 long, w2 long"), "rlz")
 
-    index = durable(windows.groupBy("w1", "w2").agg(F.min("rid").alias("owner"), F.max("rid").alias("last")).filter(
-        "owner < last").select("w1", "w2", "owner"), "rlz")
-    found = lookup_join(windows, index, ["w1", "w2"], ["rid", "at"]).filter("owner < rid").groupBy("rid", "rhash").agg(
+    index = durable(windows.groupBy("w1", "w2").agg(F.min("rid").alias("owner"), times).filter("n > 1"), "rlz")
+    found = share_join(windows, index, ["w1", "w2"]).filter("owner < rid").groupBy("rid", "rhash").agg(
         F.collect_set("at").alias("windows"))
     return durable(found.join(factors, ["rid", "rhash"], "full"), "rlz")
 
