@@ -10,6 +10,7 @@ from ..operators import graph as gr
 from ..operators import metrics as me
 from ..operators import neighbors as nb
 from ..operators import scoring as sc
+from ..plans.experiment import BLENDS
 from ..runtime import durable
 from ..sources import adapters as ad
 from .feature_queries import GRAPH_SQL, MERGE_SQL, median_size, selected
@@ -152,7 +153,6 @@ def sc10(spark, sf):
     return s.select("id", "rule", r6("score").alias("score"))
 
 
-BLENDS = [0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0]
 BLEND_SQL = f"""ke AS (SELECT min(kdist) AS lo, max(kdist) AS hi FROM kd),
 mix AS (SELECT a.id, a.y_true, b.blend, (1.0 - b.blend) * a.score + b.blend * CASE WHEN hi > lo THEN (kdist - lo) / (hi - lo) ELSE 0.0 END AS score
   FROM alarm a JOIN kd ON a.id = kd.index, ke, (SELECT unnest([{', '.join(str(b) + '::DOUBLE' for b in BLENDS)}]) AS blend) b WHERE a.rule = 'intra_low')"""
@@ -345,7 +345,7 @@ SELECT a AS id, min(b) AS comp FROM reach GROUP BY a""")
 def gr9(spark, sf):
     x = selected(spark, sf)
     g = F.lit(0).cast("long").alias("graph")
-    links = nb.range_join(x, CC_EPS).select(g, "src", "dst")
+    links = nb.range_join(x, CC_EPS, mode="forest").select(g, "src", "dst")
     return gr.connected_components(links, x.select(g, F.col("index").alias("id"))).select("id", "comp")
 
 
@@ -436,12 +436,12 @@ def ag6(spark, sf):
         r6(f"{m}_{k}").alias(f"{m}_{k}") for m in ("auc", "cer", "r_fpr") for k in ("mean", "std")])
 
 
-@query("ag7_best_method", f"""WITH {RESULTS_SQL}, u AS (SELECT dataset, model, unnest(['GS', 'IF', 'LOF']) AS m, unnest([1, 2, 3]) AS o,
+@query("ag7_best_method", f"""WITH {RESULTS_SQL}, u AS (SELECT dataset, model, unnest(['FILTER', 'IF', 'LOF']) AS m, unnest([1, 2, 3]) AS o,
   unnest([cer, r_fpr * 100, cer]) AS v FROM res), a AS (SELECT dataset, model, m, o, avg(v) AS v FROM u GROUP BY 1, 2, 3, 4)
 SELECT dataset, model, m AS best_method, round(v, 6) + 0.0 AS best_auc FROM a QUALIFY row_number() OVER (PARTITION BY dataset, model ORDER BY v DESC, o) = 1""")
 def ag7(spark, sf):
     r = results(spark, sf).withColumn("wide", F.col("r_fpr") * 100)
-    return me.best_method(r, ["dataset", "model"], [("GS", "cer"), ("IF", "wide"), ("LOF", "cer")]).select(
+    return me.best_method(r, ["dataset", "model"], [("FILTER", "cer"), ("IF", "wide"), ("LOF", "cer")]).select(
         "dataset", "model", "best_method", r6("best_auc").alias("best_auc"))
 
 

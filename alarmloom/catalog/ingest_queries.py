@@ -245,9 +245,11 @@ gaps AS (SELECT {KEYS}, CAST(CASE WHEN ms > 3600000 THEN 56249 ELSE least(CAST(f
   FROM g WHERE ms >= 0 GROUP BY {KEYS}, 7)"""
 
 
-@query("flw4_gap_histogram", f"WITH {PACKETS}, {GAPS_SQL} SELECT {KEYS}, gap_bin, n FROM gaps")
+@query("flw4_gap_histogram", f"""WITH {PACKETS}, {GAPS_SQL} SELECT {KEYS}, gap_bin, n FROM gaps
+UNION ALL SELECT {KEYS}, NULL, NULL FROM keyed GROUP BY ALL HAVING count(*) = 1""")
 def flw4(spark, sf):
-    return fl.gap_histogram(keyed(spark, sf)).select(*fl.FLOW, F.explode("ipt").alias("gap_bin", "n"))
+    """Flows of one packet have an empty histogram and show as a row without a bin."""
+    return fl.gap_histogram(keyed(spark, sf)).select(*fl.FLOW, F.explode_outer("ipt").alias("gap_bin", "n"))
 
 
 @query("flw5_marker_concat", f"""WITH {PACKETS}, {GAPS_SQL},

@@ -22,42 +22,26 @@ from .feature_queries import GRAPH_SQL, selected
 from .filter_queries import DBSCAN_SQL, curve_sql
 from .registry import NORMED, SELECTED, knn_sql, query, r6
 
-_shared: dict = {}
-
-
-def shared(spark, sf, name, build):
-    """Preparation and sweep of one alarm set, done once per application and read by every variant."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _shared:
-        _shared[key] = build()
-    return _shared[key]
-
-
-def forget_shared() -> None:
-    _shared.clear()
-
-
 GRID = ex.Grid()
 
 
 def prepared(spark, sf):
-    return shared(spark, sf, "prepared", lambda: ex.prepare(ad.alarms(spark, sf), GRID))
+    return ex.prepare(ad.alarms(spark, sf), GRID)
 
 
 def swept(spark, sf):
     data = prepared(spark, sf)
-    return data, shared(spark, sf, "sweep", lambda: ex.graph_clusterings(
-        data.sweep, list(GRID.ks), list(GRID.resolutions), GRID))
+    return data, ex.graph_clusterings(data.sweep, list(GRID.ks), list(GRID.resolutions), GRID)
 
 
 def chosen(spark, sf):
     data, c = swept(spark, sf)
-    return data, c, shared(spark, sf, "choice", lambda: ex.search(data.sweep, c, GRID))
+    return data, c, ex.search(data.sweep, c, GRID)
 
 
 def finished(spark, sf):
     data, c, choice = chosen(spark, sf)
-    return data, shared(spark, sf, "finished", lambda: ex.finalize(data, choice, GRID, c))
+    return data, ex.finalize(data, choice, GRID, c)
 
 
 def described(got, names=("tau", "r_fpr", "r_tpr", "CER", "auc")):
@@ -183,21 +167,37 @@ def _detector(name, kind, **params):
     return run
 
 
-_detector("ml1_random_forest", "rf", numTrees=20, maxDepth=6)
+_detector("ml1_random_forest", "rf")
 _detector("ml2_linear_svm", "svm")
-_detector("ml3_decision_tree", "tree", maxDepth=10)
-_detector("ml4_boosted_trees", "xgb", maxIter=10)
+_detector("ml3_decision_tree", "tree")
+_detector("ml4_boosted_trees", "xgb")
 _detector("ml5_reconstruction_error", "ae", components=3)
 
 
+def wide_rows(spark, sf):
+    """Twenty numbers of every line item and their names, for the generic bit profile."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date"))
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    cells = {
+        "quantity": quantity, "price_load": price, "discount": F.col("l_discount") * 100, "tax": F.col("l_tax") * 100,
+        "ship_day": day("l_shipdate"), "line_flag": F.col("l_linenumber"), "part": F.col("l_partkey"),
+        "supplier": F.col("l_suppkey"), "order": F.col("l_orderkey"), "unit_price": price / quantity,
+        "net_load": price * (1 - F.col("l_discount")), "gross_load": price * (1 + F.col("l_tax")),
+        "month": F.month(F.col("l_shipdate").cast("date")), "weekday": F.dayofweek(F.col("l_shipdate").cast("date")),
+        "year": F.year(F.col("l_shipdate").cast("date")), "day_of_month": F.dayofmonth(F.col("l_shipdate").cast("date")),
+        "price_rate": F.sqrt(price), "status_state": F.ascii("l_linestatus"), "part_group": F.col("l_partkey") % 25,
+        "log_price": F.log1p(price) * 100,
+    }
+    li = ad.table(spark, sf, "lineitem")
+    key = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("index")
+    label = (F.col("l_returnflag") != "N").cast("int").alias("y_true")
+    return li.select(key, F.array(*[c.cast("double") for c in cells.values()]).alias("features"), label), list(cells)
+
+
 @query("ml6_bit_perceptron")
 def ml6(spark, sf):
-    """Twenty inputs from the line items through the generic bit profile."""
-    rows = flow_rows(spark, sf)
-    wide = rows.withColumn("features", F.slice(F.flatten(F.array_repeat("features", 4)), 1, 20))
-    cols = ["qty_flag", "price_load", "disc", "tax_state", "day_dur", "line"] * 4
-    cols = [f"{c}_{i}" for i, c in enumerate(cols)][:20]
-    pred, metrics, _ = generate_alarms(wide, "n3ic", dataset="kdd", columns=cols, epochs=(5, 10))
+    wide, names = wide_rows(spark, sf)
+    pred, metrics, _ = generate_alarms(wide, "n3ic", dataset="kdd", columns=names)
     return metrics.select("tp", "tn", "fp", "fn", r6("accuracy").alias("accuracy"))
 
 
@@ -230,8 +230,8 @@ def pipe13(spark, sf):
 @query("pipe1_clustering_sweep")
 def pipe1(spark, sf):
     d, c = swept(spark, sf)
-    auc, index, _ = ex.sweep_auc(d.sweep, c, list(GRID.min_sizes), list(GRID.rules))
-    cells = local_rows(spark, [(i, v["k"], v["res"], v["min_size"]) for i, v in index.items()],
+    auc, made = ex.sweep_auc(d.sweep, c, list(GRID.min_sizes), list(GRID.rules))
+    cells = local_rows(spark, [(i, v["k"], v["res"], v["min_size"]) for i, v in made.index.items()],
                        "cell long, k int, resolution double, min_size int")
     return auc.join(F.broadcast(cells), "cell").select("k", "resolution", "min_size", "rule", r6("auc").alias("auc"))
 
@@ -240,7 +240,7 @@ def pipe1(spark, sf):
 def pipe2(spark, sf):
     d, c, choice = chosen(spark, sf)
     one = ex.chosen_cell(c, choice)
-    rows, _ = ex.scored_cells(d.sweep, one, [choice.min_size], [choice.rule])
+    rows = ex.cell_alarms(d.sweep, ex.cluster_cells(d.sweep, one, [choice.min_size], [choice.rule]))
     mixed = sc.blended(rows.select("id", "cid", "y_true", "score"), one.kdist.select("id", "kdist"),
                        [0.0, *GRID.blends], by=[])
     return ev.curve_auc(ev.threshold_curve(mixed, ["blend"]), ["blend"]).select("blend", r6("auc").alias("auc"))
@@ -259,39 +259,37 @@ def pipe14(spark, sf):
 
 @query("pipe4_single_experiment")
 def pipe4(spark, sf):
-    """One result row: the filter and the three baselines on the same split."""
-    d, got = finished(spark, sf)
-    out = described(got).select(F.lit("GS").alias("method"), "r_fpr", "r_tpr", "cer", "auc")
-    for name, (param, m) in ex.run_baselines(d, GRID).items():
-        if m is not None:
-            out = out.unionByName(m.select(
-                F.lit(name.upper()).alias("method"), *[r6(c).alias(c.lower()) for c in ("r_fpr", "r_tpr", "CER", "auc")]))
-    return out
+    """One result row: the filter and the three baselines on the same split; here a row per method."""
+    got = ex.run_experiment(ad.alarms(spark, sf), GRID)
+    rows = [(m.upper(), *[got[f"{m}_{x}"] for x in ("R.FPR", "R.TPR", "CER", "auc")]) for m in ("filter", "if", "lof", "knn")]
+    out = local_rows(spark, rows, "method string, r_fpr double, r_tpr double, cer double, auc double")
+    return out.select("method", *[r6(c).alias(c) for c in ("r_fpr", "r_tpr", "cer", "auc")])
 
 
-SMALL = ex.Grid(ks=(10,), resolutions=(1.0,), min_sizes=(5,), blends=(0.5,))
-
-
-def experiment_tree(spark, sf):
-    """All alarms written as one alarm set in the experiment layout."""
+def experiment_tree(spark, sf, datasets=("vec", "root"), seeds=(16, 17)):
+    """All alarms in the experiment layout: as they are and with square roots, and in two orders of dimensions."""
     root = scratch_path(spark, "experiments")
-    al.save_alarms(ad.alarms(spark, sf), f"{root}/vec-csv-svm/split_seed16/alert.json")
+    for name in datasets:
+        for seed in seeds:
+            x = F.transform("features", lambda v: F.signum(v) * F.sqrt(F.abs(v))) if name == "root" else F.col("features")
+            rows = ad.alarms(spark, sf).withColumn("features", F.reverse(x) if seed % 2 else x)
+            al.save_alarms(rows, f"{root}/{name}-csv-svm/split_seed{seed}/alert.json")
     return root
 
 
 @query("pipe5_batch_runner")
 def pipe5(spark, sf):
-    """One experiment; the second call finds its tag done and adds nothing."""
+    """Two datasets with two seeds; the second call finds all tags done and adds nothing."""
     root, out = experiment_tree(spark, sf), scratch_path(spark, "batch")
-    ba.run_batch(spark, root, out, SMALL)
-    done = ba.run_batch(spark, root, out, SMALL)
+    ba.run_batch(spark, root, out, GRID)
+    done = ba.run_batch(spark, root, out, GRID)
     return ba.summarise(done).select("dataset", "model", "n_rows", *[
-        r6(f"`{m}_auc_mean`").alias(f"{m}_auc_mean") for m in ("gs", "if", "lof", "knn")])
+        r6(f"`{m}_auc_{k}`").alias(f"{m}_auc_{k}") for m in ("filter", "if", "lof", "knn") for k in ("mean", "std")])
 
 
 @query("pipe6_without_feature_selection")
 def pipe6(spark, sf):
-    return described(ab.without_features(ad.alarms(spark, sf), SMALL))
+    return described(ab.without_features(ad.alarms(spark, sf), GRID))
 
 
 ABLATION_EPS = 0.75
@@ -316,7 +314,9 @@ def pipe7(spark, sf):
 
 @query("pipe7_dbscan_variant")
 def pipe7_full(spark, sf):
-    got = ab.with_dbscan(prepared(spark, sf), GRID)
+    """Radii from the distances to the tenth neighbour, since the default radii suit other scales."""
+    data = prepared(spark, sf)
+    got = ab.with_dbscan(data, GRID, ab.neighbour_radii(data.sweep))
     if got is None:
         return spark.createDataFrame([], "tau double, r_fpr double, r_tpr double, cer double, auc double, "
                                          "cell string, min_size int, rule string, blend double")
@@ -325,7 +325,7 @@ def pipe7_full(spark, sf):
 
 @query("pipe8_kmeans_instead_of_graph")
 def pipe8(spark, sf):
-    return described(ab.with_kmeans(prepared(spark, sf), SMALL, [10]))
+    return described(ab.with_kmeans(prepared(spark, sf), GRID))
 
 
 @query("pipe9_fixed_rule")
@@ -342,13 +342,10 @@ def pipe10(spark, sf):
 
 @query("pipe11_ablation_runner")
 def pipe11(spark, sf):
-    """Two variants of one experiment; the full one reuses an earlier result row."""
-    root, out = experiment_tree(spark, sf), scratch_path(spark, "ablation")
-    n = ad.alarms(spark, sf).agg(F.avg("y_true").alias("share"))
-    prior = n.select(
-        F.lit("vec-csv-svm-seed16").alias("tag"),
-        *[F.col("share").alias(f"gs_{m}") for m in ("auc", "R.FPR", "R.TPR", "CER")])
-    rows = ba.run_ablation(spark, root, out, SMALL, prior, ["Full", "w/o Blend"])
+    """Every variant of an experiment; the full one takes its metrics from the result table of a batch run."""
+    root, out = experiment_tree(spark, sf, ("vec",), (16,)), scratch_path(spark, "ablation")
+    prior = ba.run_batch(spark, root, scratch_path(spark, "batch"), GRID)
+    rows = ba.run_ablation(spark, root, out, GRID, prior)
     return ba.summarise_ablation(rows).select("dataset", "model", "variant", "n_rows", r6("auc_mean").alias("auc_mean"))
 
 

@@ -64,6 +64,10 @@ def _cells(df: DataFrame, cells: set) -> DataFrame:
 
 
 def _reassign(points, micro, core, knn, cells) -> DataFrame:
+    listed = sorted(cells)
+    grp = F.lit(None).cast("long")
+    for i, (run, m) in enumerate(listed):
+        grp = F.when((F.col("run") == run) & (F.col("min_size") == m), F.lit(i).cast("long")).otherwise(grp)
     label = core.select("run", "min_size", F.col("id").alias("dst"), F.col("cid").alias("_label"))
     done = None
     left = micro
@@ -76,11 +80,10 @@ def _reassign(points, micro, core, knn, cells) -> DataFrame:
             F.slice(F.sort_array(F.collect_list(F.struct("rank", "_label"))), 1, VOTERS)
             .alias("near")).filter(F.size("near") == VOTERS), "voters")
         done = lists.select("run", "min_size", "src", F.explode("near").alias("x")).select(
-            (F.col("run") * 100000 + F.col("min_size")).alias("grp"), "src", "x._label")
+            grp.alias("grp"), "src", "x._label")
         left = micro.join(lists.select("run", "min_size", F.col("src").alias("id")),
                           ["run", "min_size", "id"], "left_anti")
     left = durable(left, "left")
-    grp = (F.col("run") * 100000 + F.col("min_size")).cast("long")
     open_groups = [r["g"] for r in left.select(grp.alias("g")).distinct().collect()]
     ballots = [done] if done is not None else []
     if open_groups:
@@ -93,8 +96,9 @@ def _reassign(points, micro, core, knn, cells) -> DataFrame:
         ballots.append(lookup_join(near, tags, ["grp", "dst"], ["src"]).select(
             "grp", "src", "_label"))
     won = vote(union_all(ballots))
-    return won.select(
-        F.expr("grp div 100000").alias("run"), F.expr("cast(grp % 100000 as int)").alias("min_size"),
+    back = F.array(*[F.struct(F.lit(run).cast("long").alias("run"), F.lit(m).cast("int").alias("min_size")) for run, m in listed])
+    return won.withColumn("_c", F.get(back, F.col("grp").cast("int"))).select(
+        "_c.run", "_c.min_size",
         F.col("src").alias("id"), F.col("_label").alias("cid"), F.lit(False).alias("merge_skipped"))
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import squared_distance, width
+from ..functions.vectors import width
 from ..runtime import durable
 from .features import bit_encode, bit_profile
 from .metrics import anomaly_probability, error_threshold
@@ -57,22 +57,19 @@ class ReconstructionDetector:
     """Linear autoencoder: standardise, project on the principal axes and back."""
 
     scaler: Any
-    axes: list[list[float]]
+    axes: Any
     threshold: float
     error_mean: float
     error_std: float
 
     def errors(self, df: DataFrame) -> DataFrame:
-        """Add err: mean squared reconstruction error, larger is more anomalous."""
-        d = len(self.axes)
-        x = self.scaler.transform(_vectors(df)).select(
-            *df.columns, vector_to_array("_s").alias("_z"))
-        q = len(self.axes[0])
-        coded = [" + ".join(f"_z[{i}] * ({self.axes[i][j]!r}D)" for i in range(d)) for j in range(q)]
-        x = x.selectExpr(*df.columns, "_z", *[f"{c} AS _c{j}" for j, c in enumerate(coded)])
-        back = ["(" + " + ".join(f"_c{j} * ({self.axes[i][j]!r}D)" for j in range(q)) + ")"
-                for i in range(d)]
-        err = squared_distance([f"_z[{i}]" for i in range(d)], back) / F.lit(float(d))
+        """Add err: mean squared reconstruction error, larger is more anomalous.
+
+        The axes are orthonormal, so it is what the projection lacks of the squared length."""
+        x = self.axes.transform(self.scaler.transform(_vectors(df))).select(
+            *df.columns, vector_to_array("_s").alias("_z"), vector_to_array("_p").alias("_c"))
+        squared = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
+        err = F.greatest(squared("_z") - squared("_c"), F.lit(0.0)) / F.size("_z")
         return x.select(*df.columns, err.alias("err"))
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -105,7 +102,7 @@ def fit_reconstruction(df: DataFrame, components: int = 32, q: float = 0.99) ->
     scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(_vectors(train))
     scaled = scaler.transform(_vectors(train))
     k = max(1, min(components, d - 1)) if d > 1 else 1
-    axes = PCA(k=k, inputCol="_s", outputCol="_p").fit(scaled).pc.toArray().tolist()
+    axes = PCA(k=k, inputCol="_s", outputCol="_p").fit(scaled)
     draft = ReconstructionDetector(scaler, axes, 0.0, 0.0, 0.0)
     stats = error_threshold(durable(draft.errors(df).select("y_true", "err"), "errors"), q).head()
     return ReconstructionDetector(scaler, axes, stats["threshold"], stats["error_mean"], stats["error_std"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_quantile, running_totals, value_counts
 from ..functions.scalars import ratio
-from ..runtime import durable
+from ..runtime import durable, lookup_join
 
 RTPR_BUDGET = 0.10
 MIN_RFPR = 0.3
@@ -26,17 +26,23 @@ def threshold_curve(
     r_tpr, prev_fp, prev_tp. Groups without one of the classes yield no row.
     """
     by = by or []
-    per = durable(scored.groupBy(*by, F.col("score").alias("tau")).agg(
+    return counted_curve(scored.groupBy(*by, F.col("score").alias("tau")).agg(
         F.count("*").alias("n_here"),
         F.count_if(F.col("y_true") == benign).alias("fp_here"),
-        F.count_if(F.col("y_true") == pos).alias("tp_here")), "curve")
+        F.count_if(F.col("y_true") == pos).alias("tp_here")), by)
+
+
+def counted_curve(per: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``threshold_curve`` from counts: (by, tau, n_here, fp_here, tp_here), one row per score."""
+    by = by or []
+    per = durable(per, "curve")
     cum = running_totals(
         per, "tau", {"n_here": "filtered_total", "fp_here": "fp_removed", "tp_here": "tp_removed"},
         by)
     sums = [F.sum("fp_here").alias("fp_total"), F.sum("tp_here").alias("tp_total"),
             F.sum("n_here").alias("n_total")]
     if by:
-        cum = cum.join(F.broadcast(per.groupBy(*by).agg(*sums)), by)
+        cum = lookup_join(cum, per.groupBy(*by).agg(*sums), by, ["tau"])
     else:
         t = per.agg(*sums).head()
         cum = cum.withColumns({k: F.lit(t[k]) for k in ("fp_total", "tp_total", "n_total")})

@@ -92,13 +92,19 @@ def top_ks_dims(df: DataFrame, k: int = 20, label: str = "y_true", min_rows: int
     return sorted(range(dims), key=lambda i: (-stats[i], i))[:k]
 
 
+def _median(df: DataFrame) -> float | None:
+    row = exact_quantile(value_counts(df, "x"), F.lit(0.5)).head()
+    return row["quantile"] if row else None
+
+
 def robust_z(df: DataFrame, value: str, out: str = "z") -> DataFrame:
-    """0.6745 (x - median) / MAD; NaN is ignored by the medians, MAD below 1e-12 counts as 1."""
+    """0.6745 (x - median) / MAD; NaN is ignored by the medians, MAD below 1e-12 counts as 1; without a finite value NaN."""
     x = finite_or_null(F.col(value))
     clean = df.select(x.alias("x"))
-    med = exact_quantile(value_counts(clean, "x"), F.lit(0.5)).head()["quantile"]
-    spread = clean.select(F.abs(F.col("x") - F.lit(med)).alias("x"))
-    mad = exact_quantile(value_counts(spread, "x"), F.lit(0.5)).head()["quantile"]
+    med = _median(clean)
+    if med is None:  # no finite value
+        return df.withColumn(out, F.lit(float("nan")))
+    mad = _median(clean.select(F.abs(F.col("x") - F.lit(med)).alias("x")))
     mad = mad if mad > 1e-12 else 1.0
     return df.withColumn(out, F.lit(0.6745) * (F.col(value) - F.lit(med)) / F.lit(mad))
 
@@ -127,7 +133,7 @@ SCALED_INPUTS = ("sbytes", "dbytes", "sload", "dload")
 # Other spellings of an input name.
 INPUT_ALIASES = {
     "smean": ["smeansz"], "dmean": ["dmeansz"], "sinpkt": ["sintpkt"], "dinpkt": ["dintpkt"],
-    "ct_src_ltm": ["ct_src_ ltm", "ctsrcltm"],
+    "ct_src_ltm": ["ctsrcltm"],
 }
 # Width by words in the column name, first match wins; 16 otherwise.
 WIDTH_BY_WORD = [
@@ -174,13 +180,16 @@ def bit_profile(dataset: str, columns: list[str]) -> list[tuple[int, int, bool]]
 def bit_encode(
     df: DataFrame, profile: list[tuple[int, int, bool]], col: str = "features", out: str = "bits"
 ) -> DataFrame:
-    """Most significant bit first, 0 written as -1; one unrolled expression per bit."""
+    """Most significant bit first, 0 written as -1; one unrolled expression per bit.
+
+    Values beyond the width, and beyond any integer, count as the largest value of that width.
+    """
     ints = []
     for i, (pos, width_, thousands) in enumerate(profile):
-        whole = finite_or_zero(F.col(col)[pos]).cast("long")
+        whole = finite_or_zero(F.col(col)[pos])
         if thousands:
-            whole = F.floor(whole / F.lit(1000)).cast("long")
-        clipped = F.greatest(F.lit(0), F.least(F.lit((1 << width_) - 1), whole))
+            whole = whole / F.lit(1000.0)
+        clipped = F.greatest(F.lit(0.0), F.least(F.lit(float((1 << width_) - 1)), whole))
         ints.append(clipped.cast("int").alias(f"_i{i}"))
     bits = [
         (F.shiftright(f"_i{i}", shift).bitwiseAND(F.lit(1)) * 2 - 1).cast("tinyint")

@@ -90,8 +90,10 @@ def gap_counts(
 
 def gap_histogram(packets: DataFrame, shift: int = GAP_SHIFT) -> DataFrame:
     """(flow, ipt): sparse map bin -> count; logical size ``gap_bins``, empty for one packet."""
-    return gap_counts(packets, shift).groupBy(*FLOW).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("gap_bin", "n")))).alias("ipt"))
+    every = packets.select(*FLOW).distinct().select("*", F.lit(None).cast("int").alias("gap_bin"), F.lit(None).cast("long").alias("n"))
+    entry = F.when(F.col("gap_bin").isNotNull(), F.struct("gap_bin", "n"))
+    return gap_counts(packets, shift).unionByName(every).groupBy(*FLOW).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("ipt"))
 
 
 def markers(packets: DataFrame, use_gaps: bool = False) -> DataFrame:

@@ -86,6 +86,7 @@ def connected_components(
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): a logarithmic number of
     rounds, minima are combined before the shuffle, and the way back to the rows is a salted join.
+    It ends when a round changes nothing; a labelling that is not final after ``max_rounds`` is an error.
     """
     e = durable(
         edges.filter(F.col("src") != F.col("dst"))
@@ -111,6 +112,8 @@ def connected_components(
         if sign == last:
             break
         last = sign
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     roots = e.select(by, F.col("u").alias("id"), F.col("v").alias("comp"))
     return vertices.select(by, "id").join(roots, [by, "id"], "left").select(
         by, "id", F.coalesce("comp", "id").alias("comp"))

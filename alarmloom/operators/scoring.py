@@ -70,15 +70,22 @@ def score_clusters(
         *by, "cid", "size", "e.rule", "e.score")
 
 
+MIN_CLUSTER_SIZE = 5
+
+
+def effective_score(min_cluster_size: int = MIN_CLUSTER_SIZE) -> Column:
+    """The score that the alarms of a cluster get: small clusters count 0."""
+    return F.when(F.col("size") >= min_cluster_size, F.col("score")).otherwise(0.0)
+
+
 def alarm_scores(
-    membership: DataFrame, scored: DataFrame, min_cluster_size: int = 5,
+    membership: DataFrame, scored: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE,
     by: list[str] | None = None,
 ) -> DataFrame:
     """(by, rule, id, cid, score): the score of the alarm's cluster; small or unknown clusters 0."""
     by = by or ["run"]
     rules = scored.groupBy(*by, "cid").agg(F.collect_list(F.struct(
-        "rule", F.when(F.col("size") >= min_cluster_size, F.col("score")).otherwise(0.0)
-        .alias("score"))).alias("rules"))  # one entry per rule
+        "rule", effective_score(min_cluster_size).alias("score"))).alias("rules"))  # one entry per rule
     found = lookup_join(membership.select(*by, "id", "cid"), rules, [*by, "cid"], ["id"], "left")
     return found.select(*by, "id", "cid", F.explode_outer("rules").alias("r")).select(
         *by, "id", "cid", "r.rule", F.coalesce("r.score", F.lit(0.0)).alias("score"))

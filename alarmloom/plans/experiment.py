@@ -22,7 +22,7 @@ from ..operators import scoring as sc
 from ..functions.vectors import width
 from ..runtime import durable, local_rows, union_all
 
-SWEEP_CAP, BASELINE_CAP = 20_000, 5_000
+# Blend weights, DBSCAN radii and KMeans sizes of the search.
 BLENDS = [0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0]
 DBSCAN_EPS = [0.1, 0.3, 0.5, 1.0]
 KMEANS_SIZES = [10, 20, 50, 100]
@@ -30,7 +30,11 @@ KMEANS_SIZES = [10, 20, 50, 100]
 
 @dataclass(frozen=True)
 class Grid:
-    """Search space with the published defaults."""
+    """Search space with the published defaults.
+
+    ``sweep_cap`` and ``baseline_cap`` draw a sample of the validation rows for model selection and for
+    the baselines; by default both see every row.
+    """
 
     ks: tuple[int, ...] = (10, 30)
     resolutions: tuple[float, ...] = (0.5, 1.0, 10.0)
@@ -44,8 +48,8 @@ class Grid:
     feature_selection: bool = True
     quantile_tau: bool = False
     dense_fallback: float | None = None
-    sweep_cap: int = SWEEP_CAP
-    baseline_cap: int = BASELINE_CAP
+    sweep_cap: int | None = None
+    baseline_cap: int | None = None
 
 
 @dataclass(frozen=True)
@@ -74,9 +78,11 @@ class Prepared:
 
 
 def prepare(alarms: DataFrame, grid: Grid = Grid()) -> Prepared | None:
-    """Split, scale each side on itself, select features on the validation side, cap the sweep."""
-    cut = sa.validation_test_split(
-        durable(alarms.select("index", "features", "y_true"), "alarms"), grid.val_ratio, grid.seed)
+    """Split, scale each side on itself, select features on the validation side.
+
+    Each side is written once with all features; selections and samples are projections of it.
+    """
+    cut = sa.validation_test_split(alarms.select("index", "features", "y_true"), grid.val_ratio, grid.seed)
     if cut is None:
         return None
     cut = durable(cut, "cut")
@@ -86,10 +92,8 @@ def prepare(alarms: DataFrame, grid: Grid = Grid()) -> Prepared | None:
         dims = fe.top_variance_dims(sides["val"], grid.top_features)
     else:
         dims = list(range(width(sides["val"])))
-    val = durable(fe.keep_dims(sides["val"], dims), "val")
-    test = durable(fe.keep_dims(sides["test"], dims), "test")
-    sweep = sa.capped_subsample(val, grid.sweep_cap, "index", grid.seed)
-    sweep = val if sweep is val else durable(sweep, "sweep")
+    val, test = (fe.keep_dims(sides[s], dims) for s in ("val", "test"))
+    sweep = sa.capped_subsample(val, grid.sweep_cap, "index", grid.seed) if grid.sweep_cap else val
     return Prepared(val, test, sweep, sides["val"], sides["test"], dims)
 
 
@@ -167,10 +171,20 @@ def kmeans_clusterings(points: DataFrame, sizes: list[int], grid: Grid, sweep: b
 
 # --- phase 1 and 2 ---------------------------------------------------------------------------------------
 
-def scored_cells(
+@dataclass
+class Cells:
+    """Merged clusterings of a grid: members (cell, run, id, cid), cluster scores (cell, cid, size, rule, score)
+    and what every cell number stands for."""
+
+    member: DataFrame
+    scored: DataFrame
+    index: dict
+
+
+def cluster_cells(
     points: DataFrame, c: Clustering, min_sizes: list[int], rules: list[str], min_clusters: int = 1
-) -> tuple[DataFrame, dict]:
-    """(cell, rule, id, cid, score, y_true) for every (run, min_size) cell and rule, and the cells.
+) -> Cells:
+    """Every (run, min_size) cell merged, profiled and scored by every rule, at the level of clusters.
 
     ``cell`` numbers (run, min_size) in loop order. Cells without a core row, or with fewer than
     ``min_clusters`` clusters, are left out.
@@ -190,22 +204,38 @@ def scored_cells(
             (F.col("n") >= min_clusters) & (F.col("m") >= min_clusters)).collect()]
         cells = cells.filter(F.col("cell").isin(good))
     member = durable(cells.select("cell", "run", "id", "cid"), "cells")
-    kdist = c.kdist.join(member.select("cell", "run").distinct(), "run").select("cell", "id", "kdist")
+    of_run = F.broadcast(member.select("cell", "run").distinct())  # a row per cell of the grid
+    kdist = c.kdist.join(of_run, "run").select("cell", "id", "kdist")
     profiles = durable(cl.cluster_profiles(points, member, kdist, by=["cell"]), "profiles")
-    scored = sc.score_clusters(profiles, rules, by=["cell"])
+    scored = durable(sc.score_clusters(profiles, rules, by=["cell"]), "scores")
+    return Cells(member, scored, {i: {**c.cells[run], "_run": run, "min_size": m} for (run, m), i in listed.items()})
+
+
+def cell_alarms(points: DataFrame, cells: Cells, cell: int | None = None, rule: str | None = None) -> DataFrame:
+    """(cell, rule, id, cid, score, y_true) of one cell and rule, or of those that ``cells`` holds."""
+    keep = F.lit(True) if cell is None else F.col("cell") == cell
+    want = F.lit(True) if rule is None else F.col("rule") == rule
     y = points.select(F.col("index").alias("id"), "y_true")
-    rows = sc.alarm_scores(member, scored, by=["cell"]).join(y, "id")
-    index = {i: {**c.cells[run], "_run": run, "min_size": m} for (run, m), i in listed.items()}
-    return durable(rows, "scored"), index
+    rows = sc.alarm_scores(cells.member.filter(keep), cells.scored.filter(keep & want), by=["cell"])
+    return rows.join(y, "id")
 
 
 def sweep_auc(
     points: DataFrame, c: Clustering, min_sizes: list[int], rules: list[str], min_clusters: int = 1
-) -> tuple[DataFrame, dict, DataFrame]:
-    """(cell, rule, auc) of the whole grid in one evaluation."""
-    rows, index = scored_cells(points, c, min_sizes, rules, min_clusters)
-    curve = ev.threshold_curve(rows, ["cell", "rule"])
-    return durable(ev.curve_auc(curve, ["cell", "rule"]), "auc"), index, rows
+) -> tuple[DataFrame, Cells]:
+    """(cell, rule, auc) of the whole grid in one evaluation.
+
+    A rule gives all alarms of a cluster one score, so the curves come from the label counts of the clusters:
+    no row of alarm, cell and rule is ever made.
+    """
+    cells = cluster_cells(points, c, min_sizes, rules, min_clusters)
+    y = points.select(F.col("index").alias("id"), "y_true")
+    labels = cells.member.join(y, "id").groupBy("cell", "cid").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y_true") == 0).alias("fp"), F.count_if(F.col("y_true") == 1).alias("tp"))
+    ruled = cells.scored.select("cell", "cid", "rule", sc.effective_score().alias("tau")).join(labels, ["cell", "cid"])
+    curve = ev.counted_curve(ruled.groupBy("cell", "rule", "tau").agg(
+        F.sum("n").alias("n_here"), F.sum("fp").alias("fp_here"), F.sum("tp").alias("tp_here")), ["cell", "rule"])
+    return durable(ev.curve_auc(curve, ["cell", "rule"]), "auc"), cells
 
 
 def _best(auc: DataFrame, rules: list[str]) -> tuple[int, str, float] | None:
@@ -222,17 +252,17 @@ def search(
 ) -> Choice | None:
     """Phase 1 over the grid, phase 2 over the blends of its winner (strict improvement)."""
     rules = list(grid.rules)
-    auc, index, rows = sweep_auc(points, c, list(grid.min_sizes), rules, min_clusters)
+    auc, cells = sweep_auc(points, c, list(grid.min_sizes), rules, min_clusters)
     best = _best(auc, rules)
     if best is None:
         return None
     cell, rule, value = best
-    where = index[cell]
+    where = cells.index[cell]
     choice = Choice({k: v for k, v in where.items() if k not in ("_run", "min_size")},
                     where["min_size"], rule, 0.0, value)
     if not blend or not grid.blends:
         return choice
-    won = rows.filter((F.col("cell") == cell) & (F.col("rule") == rule))
+    won = durable(cell_alarms(points, cells, cell, rule), "won")
     mixed = sc.blended(won.select("id", "cid", "y_true", "score"), c.kdist.filter(
         F.col("run") == where["_run"]).select("id", "kdist"), list(grid.blends), by=[])
     areas = {r["blend"]: r["auc"] for r in ev.curve_auc(
@@ -261,8 +291,8 @@ def score_alarms(
     ``known`` is a clustering of the same points that already holds the chosen cell.
     """
     c = known or cluster_once(points, choice, grid)
-    rows, _ = scored_cells(points, c, [choice.min_size], [choice.rule])
-    flat = rows.select("id", "cid", "y_true", "score")
+    rows = cell_alarms(points, cluster_cells(points, c, [choice.min_size], [choice.rule]))
+    flat = durable(rows.select("id", "cid", "y_true", "score"), "scored")
     return durable(sc.blended(flat, c.kdist.select("id", "kdist"), [choice.blend], by=[]).drop("blend"), "alarms")
 
 
@@ -374,7 +404,9 @@ def _forest_baseline(refs, q, values):
 
 def run_baselines(data: Prepared, grid: Grid = Grid()) -> dict:
     """{name: (parameter, metrics)} for the three baselines on all transformed features."""
-    refs = durable(sa.capped_subsample(data.val_full, grid.baseline_cap, "index", grid.seed), "refs")
+    refs = data.val_full
+    if grid.baseline_cap:
+        refs = durable(sa.capped_subsample(refs, grid.baseline_cap, "index", grid.seed), "refs")
     n = refs.count()
     return {
         "if": tune_baseline(_forest_baseline, [0.01, 0.05, "auto", 0.1, 0.3], refs, data.test_full),
@@ -400,13 +432,13 @@ def run_experiment(alarms: DataFrame, grid: Grid = Grid(), baselines: bool = Tru
             row[f"{prefix}_{name}"] = m[col] if m else None
 
     got = run_filter(data, grid)
-    put("gs", got[1] if got else None)
+    put("filter", got[1] if got else None)
     c = got[0] if got else Choice({}, 0, "")
     row.update({
-        "gs_k": c.cell.get("k"), "gs_res": c.cell.get("res"), "gs_ms": c.min_size if got else None,
-        "gs_scoring": c.rule if got else None, "gs_blend": c.blend if got else None,
-        "gs_tau": c.tau, "gs_val_auc": c.val_auc if got else None,
-        "gs_val_R.FPR": c.val_point.get("r_fpr"), "gs_val_R.TPR": c.val_point.get("r_tpr")})
+        "filter_k": c.cell.get("k"), "filter_res": c.cell.get("res"), "filter_ms": c.min_size if got else None,
+        "filter_scoring": c.rule if got else None, "filter_blend": c.blend if got else None,
+        "filter_tau": c.tau, "filter_val_auc": c.val_auc if got else None,
+        "filter_val_R.FPR": c.val_point.get("r_fpr"), "filter_val_R.TPR": c.val_point.get("r_tpr")})
     if baselines:
         for name, (param, metrics) in run_baselines(data, grid).items():
             put(name, metrics)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import cleaning as cl
 from ..operators.sampling import stratified_fraction
-from ..runtime import durable
+from ..runtime import durable, local_rows, lookup_join
 from .specs import DatasetSpec, dataset_spec
 
 ROW_ID, ORIGIN = "row_id", "origin_file"
@@ -67,14 +67,31 @@ def column_list(spark: SparkSession, root: str, spec: DatasetSpec, paths: list[s
     return spec.header
 
 
+def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """The header line of a file; nothing else of it is read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def read_headed(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text under the header of the first file, plus file name and row position."""
-    frames = []
+    """All columns as text under the header of the first file, plus file name and row position.
+
+    Files with the same header are one scan."""
+    by_header: dict[str, list[str]] = {}
     for p in paths:
+        by_header.setdefault(first_line(spark, p, encoding), []).append(p)
+    frames = []
+    for same in by_header.values():
         f = spark.read.option("header", True).option("encoding", encoding).option(
-            "mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).csv(p)
-        frames.append(_located(f))
-    return cl.union_aligned(frames)
+            "mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).csv(same)
+        frames.append(_placed(f))
+    return _located(cl.union_aligned(frames), paths)
 
 
 def read_headerless(
@@ -82,15 +99,38 @@ def read_headerless(
 ) -> DataFrame:
     """Text columns under the given names; a one-byte encoding never fails on a byte."""
     schema = StructType([StructField(n, StringType()) for n in names])
-    return _located(spark.read.schema(schema).option("header", False).option(
-        "encoding", encoding).csv(paths))
+    return _located(_placed(spark.read.schema(schema).option("header", False).option(
+        "encoding", encoding).csv(paths)), paths)
+
+
+# Names of the place of a row while it is being numbered.
+_FILE, _BLOCK, _SEEN = "_file", "_block", "_seen"
+# A row id is the number of the file times this, plus a position in the file below its length.
+FILE_SPAN = 1 << 44
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    # the name in the metadata is percent-encoded, in which a plus sign stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.select("*", name.alias(ORIGIN), F.col("_metadata.file_path").alias(_FILE),
+                     F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_SEEN))
+
 
+def _located(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Rows with a long id that orders them by file (in the order of ``paths``) and by position inside it.
 
-def _located(df: DataFrame) -> DataFrame:
-    """File name and a row id that orders rows by file and by position inside it."""
-    named = df.withColumn(ORIGIN, F.col("_metadata.file_name"))
-    # block start + partition-local counter: stable for a given set of files
-    return named.withColumn(ROW_ID, F.monotonically_increasing_id())
+    A split starts at its byte offset and holds fewer rows than bytes, so offset plus row number within the
+    split is unique and ordered, however Spark packs splits into tasks. Written once, since the numbers within
+    a split must not change between passes.
+    """
+    spark = df.sparkSession
+    rows = durable(df, "located")
+    numbered = local_rows(spark, [(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "_name string, _number long")
+    begins = rows.groupBy(_FILE, _BLOCK).agg(F.min(_SEEN).alias("_begin"), F.first(ORIGIN).alias("_name")).join(
+        F.broadcast(numbered), "_name").drop("_name")
+    at = F.col("_number") * F.lit(FILE_SPAN) + F.col(_BLOCK) + F.col(_SEEN) - F.col("_begin")
+    return lookup_join(rows, durable(begins, "splits"), [_FILE, _BLOCK], [_SEEN]).withColumn(ROW_ID, at).drop(
+        _FILE, _BLOCK, _SEEN, "_begin", "_number")
 
 
 def label_column(df: DataFrame, spec: DatasetSpec) -> tuple[str, Column]:
@@ -151,8 +191,7 @@ def load_dataset(
         raw = read_headerless(spark, files, column_list(spark, root, spec, paths), spec.encoding)
     else:
         raw = read_headed(spark, files, spec.encoding)
-    # row ids must not change between passes, so the located rows are written once
-    out = ingest(durable(raw, "raw"), spec)
+    out = ingest(raw, spec)
     if out.rows.isEmpty():
         raise RuntimeError(f"no valid rows for {spec.name}")
     return out

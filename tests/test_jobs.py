@@ -32,7 +32,7 @@ def test_flow_markers(spark):
     pl = {r["pcap_path"]: r["pl"] for r in fl.length_histogram(k).collect()}
     assert len(pl["benign/a"]) == 94 and pl["benign/a"][93] == 1 and pl["benign/a"][1] == 2 and sum(pl["benign/a"]) == 3
     ipt = {r["pcap_path"]: r["ipt"] for r in fl.gap_histogram(k).collect()}
-    assert ipt == {"benign/a": {1: 1, 56249: 1}}
+    assert ipt == {"benign/a": {1: 1, 56249: 1}, "evil/b": {}}
     data = {r["class_name"]: r["y_true"] for r in fl.flow_dataset(p).collect()}
     assert data == {"benign": 0, "evil": 1}
 
@@ -51,6 +51,41 @@ def test_alarm_json_and_discovery(spark):
     assert [r["features"] for r in rows] == [[0.5, 0.0], [0.5, 1.0], [0.5, 2.0]]
 
 
+def test_rows_follow_file_and_position(spark):
+    """Category codes go by first file and first row, whatever the size and the order of the splits."""
+    import os
+
+    from alarmloom.operators.cleaning import encode_category
+    from alarmloom.sources import raw_flows as rf
+    root = scratch_path(spark, "ordered")
+    os.makedirs(root)
+    with open(f"{root}/a 1.csv", "w") as f:
+        f.write("proto,v\ntcp,1\nicmp,2\ntcp,3\n")
+    with open(f"{root}/b+2.csv", "w") as f:
+        f.write("v,proto\n" + "".join(f"{i},{'udp' if i else 'arp'}\n" for i in range(20000)))
+    with open(f"{root}/c.csv", "w") as f:
+        f.write("proto,v\nsctp,1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = rf.read_headed(spark, rf.list_files(spark, root))
+        order = [(r["origin_file"], r["v"]) for r in raw.orderBy("row_id").collect()]
+        assert order == [("a 1.csv", v) for v in "123"] + [("b+2.csv", str(i)) for i in range(20000)] + [("c.csv", "1")]
+        coded = encode_category(raw, "proto", "row_id").select("proto", "proto_code").distinct().collect()
+        assert {r["proto"]: r["proto_code"] for r in coded} == {"tcp": 0, "icmp": 1, "arp": 2, "udp": 3, "sctp": 4}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bit_encoding_and_medians_of_extreme_values(spark):
+    from alarmloom.operators.features import bit_encode, robust_z
+    df = spark.createDataFrame([([1e300, -1e300, 5999.9],), ([float("nan"), float("inf"), 1e19],)], "features array<double>")
+    rows = bit_encode(df, [(0, 8, False), (1, 8, True), (2, 8, True)]).collect()
+    number = lambda bits: int("".join("1" if b > 0 else "0" for b in bits), 2)
+    assert [[number(r["bits"][i:i + 8]) for i in (0, 8, 16)] for r in rows] == [[255, 0, 5], [0, 0, 255]]
+    nothing = spark.createDataFrame([(float("nan"),), (None,)], "x double")
+    assert all(r["z"] != r["z"] for r in robust_z(nothing, "x").collect())
+
+
 def test_load_dataset_rules(spark):
     import os
     root = scratch_path(spark, "csv")
