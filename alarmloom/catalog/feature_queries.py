@@ -75,16 +75,27 @@ def fea5(spark, sf):
     return bits.select("row_id", F.posexplode("bits").alias("pos", "bit"))
 
 
-@query("fea6_bit_profile")
+# Generic profile inputs over the line items: name (its words choose the width) and value.
+PROFILE_INPUTS = [("flag_qty", "l_quantity"), ("net_load", "l_extendedprice"), ("duration", "l_linenumber * 1000"), ("tax", "l_tax * 100")] * 5
+
+
+@query("fea6_bit_profile", f"""WITH x AS (SELECT unnest([{', '.join(f"({e})::DOUBLE" for _, e in PROFILE_INPUTS)}]) AS v, unnest(range(20)) AS pos FROM lineitem),
+w AS (SELECT pos, v, CASE pos % 4 WHEN 0 THEN 8 WHEN 1 THEN 24 ELSE 16 END AS bits, pos % 4 = 1 AS scaled FROM x),
+c AS (SELECT pos, bits, scaled, least(floor(CASE WHEN scaled THEN v / 1000 ELSE v END), 2 ** bits - 1)::BIGINT AS value FROM w)
+SELECT CAST(pos AS INTEGER) AS pos, CAST(bits AS INTEGER) AS bits, scaled, CAST(sum(bit_count(value)) AS BIGINT) AS set_bits, count(*) AS n FROM c GROUP BY ALL""")
 def fea6(spark, sf):
-    """Widths of the generic profile over the line-item columns, as (position, width, scaled)."""
+    """The generic profile applied to every line item: set bits of each encoded input."""
     li = ad.table(spark, sf, "lineitem")
-    cols = [f"{c}_{i}" for i in range(2) for c in li.columns][:20]
-    profile = fe.bit_profile("kdd", cols)
-    entry = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(b).alias("bits"),
-                                         F.lit(s).alias("scaled")) for p, b, s in profile]))
-    rows = li.agg(F.count("*").alias("rows"))
-    return rows.select(entry.alias("e"), "rows").select("e.*", "rows")
+    rows = li.select(F.array(*[F.expr(e).cast("double") for _, e in PROFILE_INPUTS]).alias("features"))
+    profile = fe.bit_profile("kdd", [f"{n}_{i}" for i, (n, _) in enumerate(PROFILE_INPUTS)])
+    ends = [sum(b for _, b, _ in profile[:i]) for i in range(len(profile))]
+    inputs = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(b).alias("bits"), F.lit(s).alias("scaled"), F.lit(at).alias("at"))
+                       for (p, b, s), at in zip(profile, ends)])
+    ones = F.transform(inputs, lambda c: F.struct(
+        c["pos"].alias("pos"), c["bits"].alias("bits"), c["scaled"].alias("scaled"),
+        F.size(F.filter(F.slice("bits", c["at"] + 1, c["bits"]), lambda x: x > 0)).alias("ones")))
+    return durable(fe.bit_encode(rows, profile).select("bits"), "bits").select(F.explode(ones).alias("c")).select("c.*").groupBy(
+        "pos", "bits", "scaled").agg(F.sum("ones").alias("set_bits"), F.count("*").alias("n"))
 
 
 @query("fea7_standardize", f"""WITH {CELLS}, s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM cells GROUP BY dim)

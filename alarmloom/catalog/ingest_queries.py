@@ -300,16 +300,6 @@ def src2(spark, sf):
     return al.discover_experiments(spark, root).select("dataset", "data_type", "model", "seed")
 
 
-@query("src3_dataset_registry")
-def src3(spark, sf):
-    """Every registered dataset spec applied to the columns of the raw flow view."""
-    from ..sources.specs import REGISTRY
-    n = ad.raw_flows(spark, sf).groupBy("origin_file").agg(F.count("*").alias("rows"))
-    specs = F.explode(F.array(*[F.struct(F.lit(s.name).alias("dataset"), F.lit(s.clean).alias("clean"),
-                                         F.lit(s.label_mode).alias("label_mode")) for s in REGISTRY.values()]))
-    return n.select("origin_file", "rows", specs.alias("s")).select("origin_file", "rows", "s.*")
-
-
 @query("src4_headed_csv_scan", f"WITH {RAW} SELECT row_id AS row_key, c0, count(*) OVER () AS n FROM raw")
 def src4(spark, sf):
     root = scratch_path(spark, "headed")
@@ -395,22 +385,38 @@ def jn9(spark, sf):
     return al.reuse_rows(runs, prior, ["tag"], ["auc"]).select("tag", "variant", r6("auc").alias("auc"))
 
 
-@query("src6_column_list_file")
+def _put(spark, path: str, text: str) -> None:
+    """A small text file on any file system Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+@query("src6_column_list_file", "SELECT event_type AS protocol_name, count(*) AS n, count(DISTINCT user_id) AS ports FROM events GROUP BY 1")
 def src6(spark, sf):
-    """A column-list file written next to data derived from the events is preferred to the defaults."""
+    """A column-list file next to the data is preferred to the default names."""
     root = scratch_path(spark, "named")
     nb15_rows(spark, sf).write.csv(root)
-    spec = dataset_spec("unsw-nb15")
-    names = rf.column_list(spark, root, spec, rf.list_files(spark, root))
-    back = rf.read_headerless(spark, rf.list_files(spark, root), names)
-    return back.groupBy("proto").agg(F.count("*").alias("n"))
+    own = {"proto": "protocol_name", "sport": "source_port"}
+    _put(spark, f"{root}/UNSW-NB15_features.csv", "No.,Name\n" + "".join(
+        f"{i},{own.get(c, c)}\n" for i, c in enumerate(NB15_COLUMNS)))
+    files = rf.list_files(spark, root)
+    names = rf.column_list(spark, root, dataset_spec("unsw-nb15"), files)
+    back = rf.read_headerless(spark, [f for f in files if not f.endswith("_features.csv")], names)
+    return back.groupBy("protocol_name").agg(F.count("*").alias("n"), F.countDistinct("source_port").alias("ports"))
 
 
-@query("src7_file_selection")
+@query("src7_file_selection", "SELECT CASE WHEN event_type = 'error' THEN '1' ELSE '0' END AS Label, count(*) AS n FROM events GROUP BY 1")
 def src7(spark, sf):
-    """Only the data files of a folder reach the scan."""
+    """Lists, ground truth and feature descriptions lie in the folder too; only the data files reach the scan."""
     root = scratch_path(spark, "files")
     nb15_rows(spark, sf).write.csv(root)
+    for name in ("UNSW_NB15_features.csv", "UNSW-NB15_LIST_EVENTS.csv", "UNSW-NB15_GT.csv"):
+        _put(spark, f"{root}/{name}", "not,data\n" * 5)
     files = rf.select_files(rf.list_files(spark, root), dataset_spec("unsw-nb15-lowvar"))
     return rf.read_headerless(spark, files, NB15_COLUMNS).groupBy("Label").agg(F.count("*").alias("n"))
 

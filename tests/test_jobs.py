@@ -147,3 +147,15 @@ def test_tuned_baseline_keeps_first_of_equals(spark):
     assert best in (5, 10, 20) and metrics.count() == 1
     none, m = ex.tune_baseline(ex._knn_baseline(3), [5, 10, 20], refs.limit(3), refs)
     assert none == 10 and m is None
+
+
+def test_dataset_registry():
+    from alarmloom.sources.specs import REGISTRY, dataset_spec
+    import pytest
+    for name, spec in REGISTRY.items():
+        assert dataset_spec(name.upper().replace("-", "_")) == spec and spec.label and spec.files
+    assert dataset_spec("UNSW_NB15_lowvar").stems is None and dataset_spec("kdd-lowvar") == REGISTRY["kdd"]
+    with pytest.raises(ValueError):
+        dataset_spec("unheard of")
+    with pytest.raises(ValueError):
+        dataset_spec("kdd", "pcap")
