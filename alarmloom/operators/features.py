@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_quantile, running_totals, value_counts
@@ -180,7 +180,7 @@ def bit_profile(dataset: str, columns: list[str]) -> list[tuple[int, int, bool]]
 def bit_encode(
     df: DataFrame, profile: list[tuple[int, int, bool]], col: str = "features", out: str = "bits"
 ) -> DataFrame:
-    """Most significant bit first, 0 written as -1; one unrolled expression per bit.
+    """Most significant bit first, 0 written as -1; one expression per input.
 
     Values beyond the width, and beyond any integer, count as the largest value of that width.
     """
@@ -191,8 +191,11 @@ def bit_encode(
             whole = whole / F.lit(1000.0)
         clipped = F.greatest(F.lit(0.0), F.least(F.lit(float((1 << width_) - 1)), whole))
         ints.append(clipped.cast("int").alias(f"_i{i}"))
-    bits = [
-        (F.shiftright(f"_i{i}", shift).bitwiseAND(F.lit(1)) * 2 - 1).cast("tinyint")
-        for i, (_, width_, _) in enumerate(profile) for shift in range(width_ - 1, -1, -1)
-    ]
-    return df.select("*", *ints).withColumn(out, F.array(*bits)).drop(*[f"_i{i}" for i in range(len(profile))])
+
+    def digits(i: int, width_: int) -> Column:
+        places = F.sequence(F.lit(width_ - 1), F.lit(0), F.lit(-1))
+        bit = lambda at: F.call_function("shiftright", F.col(f"_i{i}"), at).bitwiseAND(F.lit(1))
+        return F.transform(places, lambda at: (bit(at) * 2 - 1).cast("tinyint"))
+
+    bits = [digits(i, width_) for i, (_, width_, _) in enumerate(profile)]
+    return df.select("*", *ints).withColumn(out, F.flatten(F.array(*bits))).drop(*[f"_i{i}" for i in range(len(profile))])
