@@ -139,7 +139,8 @@ def fit_detector(
     common = {"featuresCol": "_v", "labelCol": "_y"}
     x = _vectors(train)
     if kind == "rf":
-        args = {"numTrees": 200, "seed": SEED, "maxDepth": 10, **params}
+        # more memory for node statistics means fewer passes over the rows
+        args = {"numTrees": 200, "seed": SEED, "maxDepth": 10, "maxMemoryInMB": 1024, **params}
         return Classifier(RandomForestClassifier(**common, **args).fit(x))
     if kind == "svm":
         scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(x)
