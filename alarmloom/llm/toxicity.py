@@ -19,7 +19,7 @@ import re
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import durable
@@ -98,30 +98,33 @@ def precision_bound(k: Column, n: Column) -> Column:
     return (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rates in toxic texts, rates in clean texts) of binary votes; ``given`` is one more voter."""
+def label_model(
+    votes: np.ndarray, given: np.ndarray, weight: np.ndarray | None = None, rounds: int = 50
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, rates in toxic texts, rates in clean texts) of binary votes; ``given`` is one more voter, and
+    ``weight`` the number of texts that a row stands for."""
     v = np.column_stack([votes, given]).astype(np.float64)
-    share = np.ones(v.shape[1])
-    share_last = np.zeros(v.shape[1])
+    n = np.ones(len(v)) if weight is None else weight.astype(np.float64)
+    share, share_last = np.ones(v.shape[1]), np.zeros(v.shape[1])
     q = np.where(given > 0, 0.95, 0.02)
     for step in range(rounds):
-        hi = (q @ v + 0.1) / (q.sum() + 1.0)
-        lo = ((1 - q) @ v + 0.01) / ((1 - q).sum() + 1.0)
-        prior = (q.sum() + 0.5) / (len(q) + 1.0)
+        yes, no = q * n, (1 - q) * n
+        hi = (yes @ v + 0.1) / (yes.sum() + 1.0)
+        lo = (no @ v + 0.01) / (no.sum() + 1.0)
+        prior = (yes.sum() + 0.5) / (n.sum() + 1.0)
         hi, lo = np.clip(hi, 1e-6, 1 - 1e-6), np.clip(lo, 1e-6, 1 - 1e-6)
         if step % 5 == 0 and np.abs(share - share_last).max() > 1e-3:
-            expected = np.outer(q, hi) + np.outer(1 - q, lo)
-            rest = v - expected
-            sd = np.sqrt((rest * rest).mean(0)) + 1e-9
-            corr = (rest.T @ rest) / len(rest) / np.outer(sd, sd)
+            rest = v - np.outer(q, hi) - np.outer(1 - q, lo)
+            cov = (rest * n[:, None]).T @ rest / n.sum()
+            sd = np.sqrt(np.diag(cov)) + 1e-9
+            corr = cov / np.outer(sd, sd)
             np.fill_diagonal(corr, 0.0)
             share_last, share = share, 1.0 / (1.0 + np.where(corr > 0.2, corr, 0.0).sum(1))
         odds = math.log(prior / (1 - prior)) + v @ (share * np.log(hi / lo)) + (1 - v) @ (share * np.log((1 - hi) / (1 - lo)))
         new = 1.0 / (1.0 + np.exp(-np.clip(odds, -40, 40)))
-        if np.abs(new - q).max() < 1e-5:
-            q = new
+        moved, q = np.abs(new - q).max(), new
+        if moved < 1e-5:
             break
-        q = new
     return q, hi[:-1], lo[:-1]
 
 
@@ -154,30 +157,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
 
         speak = Votes(voters)
         for b in batches:
-            rows = []
-            for t in b.column(2).to_pylist():
-                row = np.zeros(len(voters))
-                row[list(speak(t))] = 1.0
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float64()))], ["rid", "toxic", "votes"])
+            hits = [sorted(speak(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.int32()))], ["toxic", "hits"])
 
-    cast = durable(sample.select("rid", "toxic", "text").mapInArrow(votes, "rid long, toxic int, votes array<double>"), "toxic")
-    rows = cast.select("rid", "toxic", F.transform("votes", lambda x: x.cast("tinyint")).alias("v")).collect()  # the bounded sample
-    posterior, _, _ = label_model(np.array([r["v"] for r in rows]), np.array([r["toxic"] for r in rows]))
-    return _classifier(cast, [r["rid"] for r in rows], posterior, voters)
+    # texts with the same votes are one row with a weight; most have none
+    cast = sample.select("toxic", "text").mapInArrow(votes, "toxic int, hits array<int>")
+    rows = cast.groupBy("toxic", "hits").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "hits").collect()
+    dense = np.zeros((len(rows), len(voters)))
+    for i, r in enumerate(rows):
+        dense[i, r["hits"]] = 1.0
+    count = np.array([r["n"] for r in rows], np.float64)
+    posterior, _, _ = label_model(dense, np.array([r["toxic"] for r in rows]), count)
+    return _classifier(spark, [r["hits"] for r in rows], count, posterior, voters)
 
 
-def _classifier(cast: DataFrame, ids: list[int], posterior: np.ndarray, voters: list[str]) -> Model:
+def _classifier(spark: SparkSession, hits: list[list[int]], count: np.ndarray, posterior: np.ndarray, voters: list[str]) -> Model:
     """Logistic regression on the votes; a text counts for each class with that class's posterior."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    spark = cast.sparkSession
-    soft = spark.createDataFrame([(i, float(p)) for i, p in zip(ids, posterior)], "rid long, p double")
-    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
-                             F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("c")
-    train = cast.join(F.broadcast(soft), "rid").select(array_to_vector("votes").alias("features"), both).select(
-        "features", "c.label", "c.weight").filter("weight > 1e-6")
+    from pyspark.ml.linalg import Vectors
+
+    size = len(voters)
+    rows = [(Vectors.sparse(size, h, [1.0] * len(h)), y, float(n * (p if y else 1 - p)))
+            for h, n, p in zip(hits, count, posterior) for y in (1.0, 0.0)]
+    train = spark.createDataFrame([r for r in rows if r[2] > 1e-6], ["features", "label", "weight"])
     lr = LogisticRegression(weightCol="weight", regParam=1e-5, standardization=False, maxIter=60).fit(train)
     return Model(dict(zip(voters, map(float, lr.coefficients))), float(lr.intercept))
 
