@@ -313,7 +313,7 @@ def pipe7(spark, sf):
 
 @query("pipe7_dbscan_variant")
 def pipe7_full(spark, sf):
-    """Radii from the distances to the tenth neighbour, since the default radii suit other scales."""
+    """Radii from the distances to the fifth neighbour, since the default radii suit other scales."""
     data = prepared(spark, sf)
     got = ab.with_dbscan(data, GRID, ab.neighbour_radii(data.sweep))
     if got is None:
