@@ -60,15 +60,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def share_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def share_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``rows`` with the columns of their key's row in ``lookup`` (keys, n, ...), where n counts the rows of a key.
 
-    A small written ``lookup`` is broadcast. Of a larger one only the keys that hold more than 1 / HOT_KEYS of the counted
+    A written ``lookup`` of at most ``limit`` bytes is broadcast. Of a larger one only the keys that hold more than 1 / HOT_KEYS of the counted
     rows are, at most HOT_KEYS of them; the rows of all other keys meet in a shuffle."""
-    if planned_bytes(lookup) <= BROADCAST_LIMIT:
+    if planned_bytes(lookup) <= limit:
         return rows.join(F.broadcast(lookup), keys, how)
-    limit = (lookup.agg(F.sum("n")).head()[0] or 0) / HOT_KEYS
-    hot = F.broadcast(lookup.filter(F.col("n") > limit))
-    cold = lookup.filter(F.col("n") <= limit)
-    rest = rows.join(F.broadcast(lookup.filter(F.col("n") > limit).select(*keys)), keys, "left_anti")
+    most = (lookup.agg(F.sum("n")).head()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(lookup.filter(F.col("n") > most))
+    cold = lookup.filter(F.col("n") <= most)
+    rest = rows.join(F.broadcast(lookup.filter(F.col("n") > most).select(*keys)), keys, "left_anti")
     return rows.join(hot, keys).unionByName(rest.join(cold, keys, how))
