@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, neighbors, packing, rules, sharding, simhash, substrings, toxicity
+from . import bpe, chat, counts, exact, neighbors, packing, rules, sharding, simhash, substrings, toxicity
 
 # Rank file of the vocabulary of byte_bpe_50k.json, its pattern and its special token.
 PACKING = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
@@ -114,3 +114,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     kept = F.trim(F.regexp_replace("text", rules.SPACES, " "))
     return cut.select("doc_id", n_words, removed.alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.decisions(table(spark, sf_dir, "documents"), every_hash=True)
+
+
+SQL["op12_exact_dedup"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+    translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS s FROM documents),
+w AS (SELECT doc_id, s, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+    row_number() OVER best AS place FROM d WINDOW best AS (PARTITION BY s ORDER BY length(t) DESC, doc_id))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(s) AS text_sha256 FROM w"""
