@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, exact, neighbors, packing, rules, sharding, simhash, substrings, toxicity
+from . import bpe, chat, counts, exact, neighbors, packing, repair, rules, sharding, simhash, substrings, toxicity
 
 # Rank file of the vocabulary of byte_bpe_50k.json, its pattern and its special token.
 PACKING = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
@@ -126,3 +126,14 @@ SQL["op12_exact_dedup"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
 w AS (SELECT doc_id, s, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
     row_number() OVER best AS place FROM d WINDOW best AS (PARTITION BY s ORDER BY length(t) DESC, doc_id))
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(s) AS text_sha256 FROM w"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = repair.reports(repair.repair(repair.damage(turns))).withColumnRenamed("conv_id", "of")
+    ids = turns.select("conv_id").distinct()
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(made, ids["conv_id"].eqNullSafe(made["of"]), "left").select(
+        "conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
