@@ -271,7 +271,7 @@ class _Search:
             if not len(cols):
                 continue
             used = np.unique(rows[some])  # rows in order of frequency, without those that no document holds
-            depth = max(int(len(used) - 1).bit_length(), int(len(by) - 1).bit_length())
+            depth = max(int(len(used) - 1).bit_length(), int(len(by) - 1).bit_length(), 1)
             treap = Treap(np.searchsorted(used, rows[some]), cols, impact[some], depth)
             at = np.minimum(np.searchsorted(used, self.row), len(used) - 1)
             asked = used[at] == self.row

@@ -44,14 +44,14 @@ def pairs(df, *names):
     return [tuple(r) for r in df.select(*names).collect()]
 
 
-SMALL = [{}, {"block": 7, "points": 40, "item_terms": 20}, {"top": 3, "block": 64}]
+SMALL = [{}, {"block": 7, "points": 40, "item_terms": 100}, {"top": 3, "block": 64}]
 
 
 @pytest.mark.parametrize("how", SMALL)
 def test_brute_force(spark, sf, documents, how):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = expected(pairs(documents, "doc_id", "text"), pairs(items, "item_id", "text"), how.get("top", 10))
-    assert found(documents, items, **how) == want
+    assert found(documents, items, **how | {"item_terms": 5 * how.get("item_terms", 10**6)}) == want
 
 
 @pytest.mark.parametrize("how", SMALL)
