@@ -193,12 +193,16 @@ def quality_rules(
     docs: DataFrame, carry: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     out: str = "",
 ) -> DataFrame:
-    """Columns ``carry`` (all by default) plus ``STATS``, base_failed, distance and kept, each after prefix ``out``.
+    """Columns ``carry`` (all by default) plus ``STATS``, base_failed, distance and kept, each after prefix ``out``, which gets
+    underscores until none of these names is one of ``carry``.
 
     ``distance`` is null where the base rule failed."""
     tune(docs.sparkSession)
     carry = docs.columns if carry is None else carry
-    names = fresh(carry, "stats", "rowid", "g0", "g1", "g2")
+    taken = {c.lower() for c in carry}
+    while any(f"{out}{s}".lower() in taken for s in (*STATS, "base_failed", "distance", "kept")):
+        out = "_" + out
+    names = fresh([*carry, *[f"{out}{s}" for s in STATS]], "stats", "rowid", "g0", "g1", "g2")
     stats, rowid, keys = names[0], names[1], names[2:]
     st = [col(f"{out}{s}") for s in STATS]
     read = docs.select(*map(col, carry), text_stats(col(text_col)).alias(stats), *[

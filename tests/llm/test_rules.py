@@ -79,3 +79,13 @@ def test_junk_goes_and_clean_stays(spark):
         rows.append((i, " ".join(words), "en" if i % 3 else None, f"s{i % 2}"))
     out = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
     assert all(r["kept"] == (r["doc_id"] % 10 != 0) for r in out.collect())
+
+
+def test_default_names_that_clash(spark, odd_docs):
+    taken = odd_docs.withColumnsRenamed({"key": "N_Words", "shard": "distance", "slot": "rowid", "score": "g0", "rid": "base_failed"})
+    for df in (taken, taken.withColumn("_kept", F.lit("mine"))):
+        out = rules.quality_rules(df)
+        mark = "__" if "_kept" in df.columns else "_"
+        assert out.columns == [*df.columns, *[mark + c for c in (*rules.STATS, "base_failed", "distance", "kept")]]
+        plain = {str(r["doc_id"]): r["kept"] for r in rules.quality_rules(odd_docs, ["doc_id"]).collect()}
+        assert {str(r["doc_id"]): r[mark + "kept"] for r in out.collect()} == plain
