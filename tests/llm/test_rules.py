@@ -82,7 +82,7 @@ def test_junk_goes_and_clean_stays(spark):
 
 
 def test_default_names_that_clash(spark, odd_docs):
-    taken = odd_docs.withColumnsRenamed({"key": "N_Words", "shard": "distance", "slot": "rowid", "score": "g0", "rid": "base_failed"})
+    taken = odd_docs.withColumnsRenamed({"key": "N_Symbols", "shard": "distance", "slot": "rowid", "score": "g0", "rid": "base_failed"})
     for df in (taken, taken.withColumn("_kept", F.lit("mine"))):
         out = rules.quality_rules(df)
         mark = "__" if "_kept" in df.columns else "_"
