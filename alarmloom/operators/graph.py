@@ -17,6 +17,8 @@ DENSE_DEGREE = 25.0
 _GAIN_EPS = 1e-9
 # A superstep that raises the quality by less than this counts as stalled.
 _STALL = 1e-3
+# Steps in which the parts of communities are grown again.
+REFINE_STEPS = 3
 
 
 def per_key(key: str, values: dict, default: float = 0.0) -> Column:
@@ -182,12 +184,13 @@ def _superstep(edges: DataFrame, state: DataFrame, params: DataFrame, n: int) ->
 
 
 def _local_moves(edges, state, runs: dict, two_m: dict, n: int, seed: int, level: int, cap: int):
-    """Supersteps of one level; returns the best state of each run and the runs that merged."""
+    """Supersteps of one level; returns the best state of each run and the runs whose quality rose by more than the stall."""
     spark = edges.sparkSession
     active = set(runs)
     share = {r: 512 for r in runs}
     falls = {r: 0 for r in runs}
     best: dict = {}
+    first: dict = {}
     states = [state]
     for t in range(cap + 1):
         tick = seed * 1_000_000 + level * 1000 + t
@@ -204,6 +207,7 @@ def _local_moves(edges, state, runs: dict, two_m: dict, n: int, seed: int, level
         for got in seen:
             r, m2 = got["run"], two_m[got["run"]]
             q = got["inner"] / m2 - runs[r] * got["kk"] / (m2 * m2)
+            first.setdefault(r, q)
             gained = q - best[r][0] if r in best else 1.0
             if gained > 0:
                 best[r] = (q, t)
@@ -219,7 +223,45 @@ def _local_moves(edges, state, runs: dict, two_m: dict, n: int, seed: int, level
         states[t].filter(F.col("run").isin([r for r in best if best[r][1] == t]))
         for t in sorted({b[1] for b in best.values()})
     ])
-    return picked, {r for r in best if best[r][1] > 0}
+    return picked, {r for r in best if best[r][0] - first[r] > _STALL}
+
+
+def _refined(links: DataFrame, moved: DataFrame, gamma: dict, two_m: dict, n: int, tick: int) -> DataFrame:
+    """(run, id, k, self, cid, sub): every community re-grown from singletons into well-connected parts.
+
+    A part is well connected if its links to the rest of its community reach what its strength makes expected. In each of
+    ``REFINE_STEPS`` steps a coin names three in four as movers; a mover that is still alone and well connected joins the well-connected part
+    of its community with the greatest positive gain. A part is joined only while its founder stays (it is no mover, or has
+    been joined before), so that moves made at the same time cannot undo each other."""
+    where = moved.select("run", "id", "cid")
+    half = lookup_join(links, where.selectExpr("run", "id AS src", "cid"), ["run", "src"], ["dst"], "inner", n)
+    inner = durable(lookup_join(half, where.selectExpr("run", "id AS dst", "cid AS c2"), ["run", "dst"], ["src"], "inner", n)
+                    .filter("cid = c2").select("run", "src", "dst", "w"), "inner")
+    own = inner.groupBy("run", F.col("src").alias("id")).agg(F.expr("sum(w) AS own"))
+    totals = moved.groupBy("run", "cid").agg(F.expr("sum(k) AS kc"))
+    state = lookup_join(moved.join(own, ["run", "id"], "left"), totals, ["run", "cid"], ["id"], "inner", n).selectExpr(
+        "run", "id", "k", "self", "cid", "coalesce(own, 0D) AS own", "kc", "id AS sub")
+    state = durable(state, "refine")
+    coef = F.broadcast(local_rows(links.sparkSession, [(r, gamma[r] / two_m[r]) for r in sorted(gamma)], "run long, coef double"))
+    for t in range(REFINE_STEPS):
+        coin = f"pmod(xxhash64({{}}, {tick + t}), 4) > 0"
+        subs = state.selectExpr("run", "id AS dst", "sub")
+        toward = lookup_join(inner, subs, ["run", "dst"], ["src"], "inner", n).groupBy("run", "src", "sub").agg(F.expr("sum(w) AS link"))
+        kept = toward.join(state.selectExpr("run", "id AS src", "sub"), ["run", "src", "sub"]).groupBy("run", "sub").agg(
+            F.expr("sum(link) AS within"))
+        parts = state.groupBy("run", "sub").agg(
+            F.expr("sum(k) AS ks"), F.expr("sum(own) AS own"), F.expr("first(kc) AS kc"), F.expr("count(*) AS size"))
+        parts = parts.join(kept, ["run", "sub"], "left").join(coef, "run").withColumn(
+            "good", F.expr("own - coalesce(within, 0D) >= coef * ks * (kc - ks) - 1e-12"))
+        parts = parts.select("run", "sub", "ks", "size", "good")
+        alone = state.join(parts.filter("size = 1 AND good").select("run", F.col("sub").alias("id")), ["run", "id"], "left_semi").filter(
+            coin.format("id")).selectExpr("run", "id AS src", "k")
+        open_parts = parts.filter("good").filter(f"size > 1 OR NOT ({coin.format('sub')})").selectExpr("run", "sub", "ks")
+        ways = lookup_join(lookup_join(toward, open_parts, ["run", "sub"], ["src"], "inner", n), alone, ["run", "src"], ["sub"], "inner", n)
+        best = ways.join(coef, "run").withColumn("gain", F.expr("link - coef * k * ks")).filter(f"gain > {_GAIN_EPS!r}D").groupBy(
+            "run", F.col("src").alias("id")).agg(F.expr("max_by(sub, struct(round(gain, 9), -sub)) AS to"))
+        state = durable(state.join(best, ["run", "id"], "left").withColumn("sub", F.coalesce("to", "sub")).drop("to"), "refine")
+    return state.select("run", "id", "k", "self", "cid", "sub")
 
 
 def communities(
@@ -228,10 +270,16 @@ def communities(
 ) -> DataFrame:
     """(run, id, cid) for every (run, graph, resolution) in ``runs``.
 
-    Maximises the weighted Reichardt-Bornholdt quality by parallel local moves and contraction, then
-    splits communities into their connected parts (the guarantee of Traag, Waltman & van Eck
-    2019). One community per component and all singletons are also judged and the best is returned.
-    Ids are renumbered by size, then by smallest member.
+    Maximises the weighted Reichardt-Bornholdt quality as Traag, Waltman & van Eck (2019) do, with parallel moves. A
+    level moves vertices between communities, refines the communities into well-connected parts, and contracts the
+    graph to the parts; the next level starts from the communities, so that whole parts can still change sides. Communities
+    are split into their connected parts at the end; one community per component and all singletons are also judged and the
+    best is returned. Ids are renumbered by size, then by smallest member.
+
+    Limits. A level ends when no vertex wants to move, after ``supersteps`` steps (half of them above the first
+    level), or when the quality has risen by less than ``_STALL`` twice; the best state seen counts. Levels end when no part
+    holds two vertices, after a level that raises the quality by no more than the stall, or after ``levels``. So a result may hold vertices that would still gain by
+    moving, by less than the stall in sum for each level; it is never worse than any state that was seen.
     """
     spark = edges.sparkSession
     plan = local_rows(spark, runs, "run long, graph long, gamma double")
@@ -248,38 +296,45 @@ def communities(
     two_m = {r["run"]: r["m"] for r in sums}
     n = sum(r["n"] for r in sums)
     todo = {r: g for r, g in gamma.items() if two_m.get(r, 0.0) > 0}
-    membership = state.select("run", "id", F.col("id").alias("cid"))
-    links, level = base, 0
-    while todo and level < levels:
-        moved, merged = _local_moves(links, state, todo, two_m, n, seed, level,
+    membership = state.select("run", "id", F.col("id").alias("node"), F.col("id").alias("cid"))
+    links = base
+    for level in range(levels if todo else 0):
+        moved, better = _local_moves(links, state, todo, two_m, n, seed, level,
                                      supersteps if level == 0 else max(2, supersteps // 2))
-        todo = {r: g for r, g in todo.items() if r in merged}
+        todo = {r: g for r, g in todo.items() if r in better}
+        goes_on = F.col("run").isin(sorted(todo))
+        ended = moved.filter(~goes_on).selectExpr("run", "id", "k", "self", "cid", "id AS sub")
+        if todo:
+            parts = _refined(links.filter(goes_on), moved.filter(goes_on), todo, two_m, n, seed * 1_000_000 + level * 1000 + 500)
+            # communities are named after the least part they hold, parts after their founders
+            names = parts.groupBy("run", "cid").agg(F.min("sub").alias("name"))
+            named = lookup_join(parts, names, ["run", "cid"], ["id"], "inner", n).drop("cid").withColumnRenamed("name", "cid")
+            parts = durable(named.unionByName(ended), "parts")
+            seen = parts.groupBy("run").agg(F.expr("count_if(id <> sub) AS joined")).filter("joined > 0").collect()
+            todo = {r["run"]: todo[r["run"]] for r in seen}
+        else:
+            parts = ended
+        to = parts.selectExpr("run", "id AS node", "sub", "cid AS now")
+        membership = durable(
+            lookup_join(membership, to, ["run", "node"], ["id"], "left", n)
+            .selectExpr("run", "id", "coalesce(sub, node) AS node", "coalesce(now, cid) AS cid"), "member")
         if not todo:
             break
-        kept = sorted(todo)
-        moved = moved.filter(F.col("run").isin(kept))
-        to = moved.select("run", F.col("id").alias("node"), F.col("cid").alias("to"))
-        membership = durable(
-            lookup_join(membership.withColumnRenamed("cid", "node"), to, ["run", "node"],
-                        ["id"], "left", n)
-            .select("run", "id", F.coalesce("to", "node").alias("cid")), "member")
-        a = to.select("run", F.col("node").alias("src"), F.col("to").alias("c1"))
-        b = to.select("run", F.col("node").alias("dst"), F.col("to").alias("c2"))
-        live = links.filter(F.col("run").isin(kept))
-        joined = lookup_join(lookup_join(live, a, ["run", "src"], ["dst"], "inner", n), b,
+        kept = F.col("run").isin(sorted(todo))
+        a = to.filter(kept).selectExpr("run", "node AS src", "sub AS s1")
+        b = to.filter(kept).selectExpr("run", "node AS dst", "sub AS s2")
+        joined = lookup_join(lookup_join(links.filter(kept), a, ["run", "src"], ["dst"], "inner", n), b,
                              ["run", "dst"], ["src"], "inner", n)
-        folded = durable(joined.groupBy("run", F.col("c1").alias("src"), F.col("c2").alias("dst"))
+        folded = durable(joined.groupBy("run", F.col("s1").alias("src"), F.col("s2").alias("dst"))
                          .agg(F.sum("w").alias("w")), "fold")
         loops = folded.filter(F.col("src") == F.col("dst")).select(
             "run", F.col("src").alias("id"), F.col("w").alias("loop"))
-        sums = moved.groupBy("run", F.col("cid").alias("id")).agg(
-            F.sum("k").alias("k"), F.sum("self").alias("self"))
-        state = durable(sums.join(loops, ["run", "id"], "left").select(
-            "run", "id", "k", (F.col("self") + F.coalesce("loop", F.lit(0.0))).alias("self"),
-            F.col("id").alias("cid")), "state")
+        sums = parts.filter(kept).groupBy("run", F.col("sub").alias("id")).agg(
+            F.sum("k").alias("k"), F.sum("self").alias("self"), F.first("cid").alias("cid"))
+        state = sums.join(loops, ["run", "id"], "left").select(
+            "run", "id", "k", (F.col("self") + F.coalesce("loop", F.lit(0.0))).alias("self"), "cid")
         links = folded.filter(F.col("src") != F.col("dst"))
-        level += 1
-    return renumber(_best_partition(base, membership, runs, gamma), "run")
+    return renumber(_best_partition(base, membership.select("run", "id", "cid"), runs, gamma), "run")
 
 
 def _best_partition(base, membership, runs, gamma) -> DataFrame:

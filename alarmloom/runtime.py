@@ -103,13 +103,13 @@ def lookup_join(
         small = rows_in_lookup * (16 + 16 * len(lookup.columns)) <= BROADCAST_LIMIT
     if small:
         return rows.join(F.broadcast(lookup), keys, how)
-    salted = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1)))
-    )
-    dealt = rows.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.lit(LOOKUP_SALTS)).cast("int")
-    )
-    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+    taken = {c.lower() for c in (*rows.columns, *lookup.columns)}
+    salt = "_salt"
+    while salt in taken:
+        salt = "_" + salt
+    salted = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(LOOKUP_SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, salt], how).drop(salt)
 
 
 def add_up(terms: list[Column]) -> Column:

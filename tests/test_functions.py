@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 import alarmloom.functions.ordered as od
 import alarmloom.operators.features as fe
 import alarmloom.operators.sampling as sa
+from alarmloom import runtime
 from alarmloom.functions.scalars import number_or_null
 from alarmloom.runtime import durable
 
@@ -99,3 +100,12 @@ def test_hot_stratum_sampling(spark):
 def test_split_guard(spark):
     few = spark.range(30).selectExpr("id AS index", "if(id < 9, 0, 1) AS y_true")
     assert sa.validation_test_split(few) is None
+
+
+def test_salted_lookup_keeps_a_column_of_the_callers(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_LIMIT", 1)
+    rows = spark.createDataFrame([(i % 3, i, f"s{i}") for i in range(60)], "k int, id long, _salt string")
+    lookup = spark.createDataFrame([(0, "a"), (1, "b")], "k int, __salt string")
+    out = runtime.lookup_join(rows, lookup, ["k"], ["id"], "left")
+    assert sorted(out.columns) == ["__salt", "_salt", "id", "k"]
+    assert {(r["id"], r["_salt"], r["__salt"]) for r in out.collect()} == {(i, f"s{i}", {0: "a", 1: "b"}.get(i % 3)) for i in range(60)}

@@ -132,3 +132,61 @@ def test_kmeans_bounds(spark):
     assert m.count() == 20 and m.select("cid").distinct().count() <= 2
     one = m.selectExpr("id", "0L AS cid")
     assert cl.total_spread(p, m).head()["cost"] < cl.total_spread(p, one).head()["cost"]
+
+
+def best_quality(n, pairs, gamma):
+    """Greatest quality of all partitions of n vertices (restricted growth strings)."""
+    best = -np.inf
+
+    def grow(labels, used):
+        nonlocal best
+        if len(labels) == n:
+            best = max(best, quality(pairs, dict(enumerate(labels)), gamma))
+            return
+        for c in range(used + 1):
+            grow([*labels, c], max(used, c + 1))
+
+    grow([0], 1)
+    return best
+
+
+def test_quality_next_to_the_best_of_all_partitions(spark):
+    """Twelve small graphs as runs of one job: no quality is far below the optimum, most are at it."""
+    rng = np.random.default_rng(11)
+    edges, nodes, runs, want, all_pairs = [], [], [], {}, {}
+    for g in range(12):
+        n = 7 if g % 2 else 8
+        pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, n, (14, 2)).tolist() if p[0] != p[1]} | {(0, 1)})
+        edges += [(g, a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))]
+        nodes += [(g, i) for i in range(n)]
+        gamma = [0.5, 1.0, 2.0][g % 3]
+        runs.append((g, g, gamma))
+        want[g], all_pairs[g] = best_quality(n, pairs, gamma), (pairs, gamma)
+    e = spark.createDataFrame(edges, "graph long, src long, dst long, w double")
+    v = spark.createDataFrame(nodes, "graph long, id long")
+    labels = {g: {} for g in want}
+    for r in gr.communities(e, v, runs).collect():
+        labels[r["run"]][r["id"]] = r["cid"]
+    got = {g: quality(all_pairs[g][0], labels[g], all_pairs[g][1]) for g in want}
+    gaps = [round(want[g] - got[g], 4) for g in want]
+    assert min(gaps) >= 0 and max(gaps) <= 0.1, gaps
+    assert sum(gaps) <= 0.3, gaps
+
+
+def test_refined_parts_are_connected_and_stay_inside(spark):
+    """Two cliques and a path that one community holds: parts never leave it and are connected; cliques grow together."""
+    clique = lambda at: [(at + i, at + j) for i in range(6) for j in range(i)]
+    pairs = clique(0) + clique(10) + [(20, 21), (22, 23), (5, 20), (30, 31), (30, 32), (31, 32)]
+    e, _ = graph(spark, pairs)
+    e = e.withColumnRenamed("graph", "run")
+    ids = sorted({x for p in pairs for x in p})
+    degree = {i: sum(i in p for p in pairs) for i in ids}
+    community = {i: 30 if i >= 30 else 0 for i in ids}
+    moved = spark.createDataFrame([(0, i, float(degree[i]), 0.0, community[i]) for i in ids], "run long, id long, k double, self double, cid long")
+    for tick in range(3):
+        sub = {r["id"]: r["sub"] for r in gr._refined(e, moved, {0: 1.0}, {0: 2.0 * len(pairs)}, len(ids), tick * 100).collect()}
+        assert set(sub) == set(ids) and all(community[s] == community[i] for i, s in sub.items())
+        within = [p for p in pairs if sub[p[0]] == sub[p[1]]]
+        comp = components(max(ids) + 1, within)
+        assert all(comp[i] == comp[j] for i in ids for j in ids if sub[i] == sub[j])
+        assert len(set(sub.values())) < len(ids) - 6 and sub[0] != sub[10]
