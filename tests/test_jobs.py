@@ -120,6 +120,26 @@ def test_isolation_forest_ranks_outliers_lowest(spark):
     assert bl.isolation_scores(df.limit(5), df) is None
 
 
+@pytest.mark.parametrize("n", [12, 90, 150, 170, 4000])
+def test_one_law_of_sampling_at_every_size(spark, n):
+    """Trees draw the rows of least hash among all rows, for few rows and for many more than all trees hold together."""
+    rows = spark.range(n).selectExpr("id * 3 AS id", "array(cast(id AS double)) AS features")
+    psi, trees = min(16, n), 5
+    got = {(r["tree"], r["id"]) for r in bl.least_hashes(rows, n, trees, psi, 42).collect()}
+    pairs = rows.selectExpr("id", f"explode(sequence(0, {trees - 1})) AS tree").selectExpr("tree", "id", "xxhash64(42, tree, id) AS h").collect()
+    want = set()
+    for t in range(trees):
+        want |= {(t, r["id"]) for r in sorted((r for r in pairs if r["tree"] == t), key=lambda r: (r["h"], r["id"]))[:psi]}
+    assert got == want
+    if n == 4000:  # nearly all samples differ, and no part of the rows is left out
+        assert len({i for _, i in got}) > 70 and max(i for _, i in got) > 9000 > 3000 > min(i for _, i in got)
+
+
+def test_a_limit_that_finds_too_few_rows_is_raised(spark):
+    rows = spark.range(3000).selectExpr("id", "array(0D) AS features")
+    assert bl.least_hashes(rows, 10**7, 3, 40, 1).groupBy("tree").count().filter("count = 40").count() == 3
+
+
 @pytest.mark.parametrize("kind,params", [("svm", {}), ("tree", {"maxDepth": 3}), ("rf", {"numTrees": 5, "maxDepth": 3}),
                                          ("ae", {"components": 2})])
 def test_detectors_beat_chance(spark, kind, params):
