@@ -20,7 +20,8 @@ from ..sources import alarm_sets as al
 from ..streaming.online import filter_batch, filter_stream
 from .feature_queries import GRAPH_SQL, selected
 from .filter_queries import DBSCAN_SQL, curve_sql
-from .registry import NORMED, SELECTED, knn_sql, query, r6
+from .ingest_queries import key
+from .registry import ALARMS, NORMED, SELECTED, knn_sql, query, r6
 
 GRID = ex.Grid()
 
@@ -211,11 +212,26 @@ def ml7(spark, sf):
 
 # --- sweeps and experiments ------------------------------------------------------------------------------------------
 
-@query("pipe12_prepare_data")
+PREPARED_SQL = f"""{ALARMS}, cut AS (SELECT index, y_true, features, CASE WHEN row_number() OVER (PARTITION BY y_true ORDER BY {key(42, 'index')}, index)
+  <= ceil(count(*) OVER (PARTITION BY y_true) * 0.7) THEN 'test' ELSE 'val' END AS part FROM alarms),
+long AS (SELECT index, y_true, part, unnest(features) AS raw, generate_subscripts(features, 1) - 1 AS dim FROM cut),
+finite AS (SELECT * REPLACE (CASE WHEN isfinite(raw) THEN raw ELSE 0.0 END AS raw) FROM long),
+ends AS (SELECT part, dim, min(raw) AS lo, max(raw) AS hi FROM finite GROUP BY 1, 2),
+scaled AS (SELECT index, y_true, part, dim, log2(1 + least(greatest((raw - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 0), 1)) AS v
+  FROM finite JOIN ends USING (part, dim)),
+top AS (SELECT dim, row_number() OVER (ORDER BY var_pop(v) DESC, dim) AS pos FROM scaled WHERE part = 'val' GROUP BY dim QUALIFY pos <= 20),
+prep AS (SELECT part, index, y_true, count(*) AS dims, sum(v * pos) AS mark FROM scaled JOIN top USING (dim) GROUP BY 1, 2, 3)"""
+
+
+@query("pipe12_prepare_data", f"""WITH {PREPARED_SQL}
+SELECT part, index, y_true, CAST(dims AS INTEGER) AS dims, round(mark, 6) + 0.0 AS mark FROM prep
+UNION ALL SELECT 'sweep', index, y_true, CAST(dims AS INTEGER), round(mark, 6) + 0.0 FROM prep WHERE part = 'val'""")
 def pipe12(spark, sf):
+    """Both sides, scaled on themselves and cut to the features of most variance; mark weighs these by their rank."""
     d = prepared(spark, sf)
     parts = {"val": d.val, "test": d.test, "sweep": d.sweep}
-    rows = [p.select(F.lit(n).alias("part"), "index", "y_true", F.size("features").alias("dims"))
+    mark = F.aggregate(F.transform("features", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    rows = [p.select(F.lit(n).alias("part"), "index", "y_true", F.size("features").alias("dims"), r6(mark).alias("mark"))
             for n, p in parts.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
