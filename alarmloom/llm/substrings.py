@@ -1,7 +1,8 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing.
+"""Removal of repeated passages by phrases and windows of words.
 
-A passage repeats if each of its windows of ``WINDOW`` words also starts in a document with a smaller id. Every
-document is parsed against the documents before it, in two steps:
+A passage repeats if each of its windows of ``WINDOW`` words also starts in a document with a smaller id. Equal phrases and windows
+are found by hash, in place of greedy Lempel-Ziv factors, which would need the texts of all reference blocks in every task that
+parses. Every document is compared with the documents before it, in two steps:
 
 * Long factors. Texts are cut into phrases at places that depend on the words alone (32 words on average); a phrase
   is taken with the ``WINDOW`` - 1 words that follow it, so that it holds whole windows only. The phrases of all
