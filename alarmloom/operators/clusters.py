@@ -6,14 +6,13 @@ parameter grid, so one job serves all of them.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import names, squared_distance, unroll, width
 from ..runtime import add_up, durable, lookup_join, union_all
 from .graph import connected_components
+from .kmeans import kmeans_grid
 from .neighbors import knn_join, kth_distance, range_join, vote
 
 VOTERS = 5
@@ -155,16 +154,7 @@ def cluster_profiles(
 
 def kmeans(points: DataFrame, clusters: int, seed: int = 42, tries: int = 10) -> DataFrame:
     """(id, cid): best of ``tries`` seeded fits by training cost, min(clusters, n - 1) clusters."""
-    data = durable(points.select(F.col("index").alias("id"),
-                                 array_to_vector("features").alias("v")), "kmeans")
-    k = min(clusters, data.count() - 1)
-    best = None
-    for t in range(tries):
-        model = KMeans(k=k, seed=seed + t, featuresCol="v", predictionCol="cid").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1].transform(data).select("id", F.col("cid").cast("long").alias("cid"))
+    return kmeans_grid(points, [clusters], seed, tries).select("id", "cid")
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5, **blocks) -> DataFrame:

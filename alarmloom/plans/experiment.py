@@ -19,6 +19,7 @@ from ..operators import graph as gr
 from ..operators import neighbors as nb
 from ..operators import sampling as sa
 from ..operators import scoring as sc
+from ..operators.kmeans import kmeans_grid
 from ..functions.vectors import width
 from ..runtime import durable, local_rows, union_all
 
@@ -150,23 +151,24 @@ def graph_clusterings(
     return Clustering(membership, kdist, knn, cells)
 
 
-def _flat_clusterings(points: DataFrame, cells: dict, fit) -> Clustering:
-    spark = points.sparkSession
+def _flat_clustering(points: DataFrame, cells: dict, member: DataFrame) -> Clustering:
+    """``member`` is (run, id, cid), where a run is the number of its cell."""
     knn = durable(nb.knn_join(points, None, 10, exclude_self=True), "knn")
-    parts = union_all([fit(cell).select(F.lit(i).cast("long").alias("run"), "id", "cid")
-                       for i, cell in cells.items()])
-    kdist = durable(_kdist_rows(knn, {i: 10 for i in cells}, spark), "kdist")
-    return Clustering(durable(parts, "flat"), kdist, knn, cells)
+    kdist = durable(_kdist_rows(knn, {i: 10 for i in cells}, points.sparkSession), "kdist")
+    return Clustering(durable(member.select("run", "id", "cid"), "flat"), kdist, knn, cells)
 
 
 def dbscan_clusterings(points: DataFrame, eps: list[float], grid: Grid, sweep: bool = True) -> Clustering:
-    return _flat_clusterings(points, {i: {"eps": e} for i, e in enumerate(eps)},
-                             lambda c: cl.dbscan(points, c["eps"]))
+    parts = [cl.dbscan(points, e).withColumn("run", F.lit(i).cast("long")) for i, e in enumerate(eps)]
+    return _flat_clustering(points, {i: {"eps": e} for i, e in enumerate(eps)}, union_all(parts))
 
 
 def kmeans_clusterings(points: DataFrame, sizes: list[int], grid: Grid, sweep: bool = True) -> Clustering:
-    return _flat_clusterings(points, {i: {"nc": n} for i, n in enumerate(sizes)},
-                             lambda c: cl.kmeans(points, c["nc"], grid.cluster_seed))
+    """All cluster counts from one job a round."""
+    cells = {i: {"nc": n} for i, n in enumerate(sizes)}
+    fitted = kmeans_grid(points, sizes, grid.cluster_seed)
+    runs = local_rows(points.sparkSession, list(enumerate(sizes)), "run long, clusters long")
+    return _flat_clustering(points, cells, fitted.join(F.broadcast(runs), "clusters"))
 
 
 # --- phase 1 and 2 ---------------------------------------------------------------------------------------
