@@ -291,12 +291,10 @@ def src2(spark, sf):
     """A tree of alarm sets, one per partition, plus a malformed name that must be skipped."""
     root = scratch_path(spark, "tree")
     a = ad.alarms(spark, sf)
-    named = a.select("features", "y_true", F.col("given_cid"))
-    for r in a.select("given_cid").distinct().collect():
-        c = r["given_cid"]
-        named.filter(F.col("given_cid") == c).drop("given_cid").coalesce(1).write.json(
-            f"{root}/kdd-{c}-csv-svm/split_seed{c}/alert.json")
-    named.limit(1).drop("given_cid").write.json(f"{root}/broken/split_seed1/alert.json")
+    named = a.select("index", "features", "y_true", F.concat(F.lit("kdd-"), "given_cid").alias("dataset"), F.lit("csv").alias("data_type"),
+                     F.lit("svm").alias("model"), F.col("given_cid").cast("int").alias("seed"))
+    al.save_experiments(named, root)
+    named.limit(1).select("features", "y_true").write.json(f"{root}/broken/split_seed1/alert.json")
     return al.discover_experiments(spark, root).select("dataset", "data_type", "model", "seed")
 
 

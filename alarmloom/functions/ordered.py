@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from ..runtime import durable
 # Rows one window partition may hold before the order column is cut into ranges.
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4096
+# Selection of order statistics: accuracy of the sketches, and values that may be sorted at once.
+SKETCH_ACCURACY = 10_000
+SORTED_AT_ONCE = 100_000
 
 
 def running_totals(
@@ -103,6 +108,75 @@ def exact_quantile(
     )
 
 
+class _Rank:
+    """An order statistic: it is the ``rank``-th (from 0) of the ``n`` values between ``low`` and ``high``, both outside."""
+
+    def __init__(self, rank: int, n: int):
+        self.rank, self.n, self.low, self.high, self.value = rank, n, None, None, None
+
+    def inside(self, v: Column) -> Column:
+        test = v.isNotNull()
+        if self.low is not None:
+            test = test & (v > F.lit(self.low))
+        return test if self.high is None else test & (v < F.lit(self.high))
+
+    def between(self, v: Column) -> Column:
+        """Two values that the rank lies between, from a sketch of the values that are left."""
+        p, slack = (self.rank + 0.5) / self.n, 2.0 / SKETCH_ACCURACY
+        ends = [max(p - slack, 0.0), min(p + slack, 1.0)]
+        return F.percentile_approx(F.when(self.inside(v), v), ends, SKETCH_ACCURACY)
+
+    def counts(self, v: Column, a: float, b: float) -> Column:
+        here, a, b = self.inside(v), F.lit(a), F.lit(b)
+        return F.array(F.count_if(here & (v < a)), F.count_if(here & (v == a)), F.count_if(here & (v > a) & (v < b)),
+                       F.count_if(here & (v == b) & (a < b)))
+
+    def narrow(self, a: float, b: float, counts: list[int]) -> None:
+        """Go on with the part that holds the rank, wherever the sketch put its ends: at least one value drops out."""
+        below, at_a, middle, at_b = counts
+        if self.rank < below:
+            self.high, self.n = a, below
+        elif self.rank < below + at_a:
+            self.value = a
+        elif self.rank < below + at_a + middle:
+            self.low, self.high, self.rank, self.n = a, b, self.rank - below - at_a, middle
+        elif self.rank < below + at_a + middle + at_b:
+            self.value = b
+        else:
+            gone = below + at_a + middle + at_b
+            self.low, self.rank, self.n = b, self.rank - gone, self.n - gone
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Linear-interpolation quantiles of all rows, exact, by selection; nulls do not count, without a value None.
+
+    A sketch brackets every order statistic, exact counts say on which side of the ends it lies, and only the values inside go
+    on, about 1 in 2 000 of them a turn; what is left of at most SORTED_AT_ONCE is sorted. All shares go through the same jobs; nothing is
+    shuffled but sketches and counts, and nothing is written. Equal values cannot hold a turn up, since the ends themselves drop out.
+    """
+    v = F.col(value).cast("double")
+    n = df.agg(F.count(v).alias("n")).head()["n"]
+    if not n:
+        return [None for _ in shares]
+    at = [(n - 1) * q for q in shares]
+    ranks = {k: _Rank(k, n) for h in at for k in (math.floor(h), math.ceil(h))}
+    while wide := [r for r in ranks.values() if r.value is None and r.n > SORTED_AT_ONCE]:
+        ends = df.agg(*[r.between(v).alias(f"r{i}") for i, r in enumerate(wide)]).head()
+        found = df.agg(*[r.counts(v, *e).alias(f"r{i}") for i, (r, e) in enumerate(zip(wide, ends))]).head()
+        for r, e, c in zip(wide, ends, found):
+            r.narrow(*e, c)
+    if few := [r for r in ranks.values() if r.value is None]:
+        got = df.agg(*[F.get(F.sort_array(F.collect_list(F.when(r.inside(v), v))), r.rank).alias(f"r{i}")
+                       for i, r in enumerate(few)]).head()
+        for r, x in zip(few, got):
+            r.value = x
+    out = []
+    for h in at:
+        low, high = ranks[math.floor(h)].value, ranks[math.ceil(h)].value
+        out.append(low if low == high else low + (high - low) * (h - math.floor(h)))
+    return out
+
+
 def dense_rank_global(df: DataFrame, order: str, out: str, by: list[str] | None = None) -> DataFrame:
     """0-based rank by ascending unique ``order`` within ``by`` without a one-task sort."""
     negated = durable(

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import exact_quantile, running_totals, value_counts
+from ..functions.ordered import exact_quantile, quantiles, running_totals, value_counts
 from ..functions.scalars import ratio
-from ..runtime import durable, lookup_join
+from ..runtime import durable, local_rows, lookup_join
 
 RTPR_BUDGET = 0.10
 MIN_RFPR = 0.3
@@ -127,6 +127,9 @@ def transfer_quantile(
 ) -> DataFrame:
     """(by, tau): the score quantile 1 - q of this batch, q clamped to [1e-6, 1]."""
     by = by or []
+    if not by and not isinstance(q, DataFrame):
+        tau = quantiles(scored, "score", [1.0 - min(max(float(q), 1e-6), 1.0)])
+        return local_rows(scored.sparkSession, [(t,) for t in tau if t is not None], "tau double")
     counted = value_counts(scored, "score", by)
     if isinstance(q, DataFrame):
         counted = counted.join(F.broadcast(q.select(*by, F.col("quantile").alias("_q"))), by)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import exact_quantile, running_totals, value_counts
+from ..functions.ordered import quantiles, running_totals
 from ..functions.scalars import finite_or_null, finite_or_zero
 from ..functions.vectors import width
 from ..runtime import durable
@@ -93,8 +93,7 @@ def top_ks_dims(df: DataFrame, k: int = 20, label: str = "y_true", min_rows: int
 
 
 def _median(df: DataFrame) -> float | None:
-    row = exact_quantile(value_counts(df, "x"), F.lit(0.5)).head()
-    return row["quantile"] if row else None
+    return quantiles(df, "x", [0.5])[0]
 
 
 def robust_z(df: DataFrame, value: str, out: str = "z") -> DataFrame:

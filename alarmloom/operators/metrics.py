@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import exact_quantile, running_totals, value_counts
+from ..functions.ordered import quantiles, running_totals
 from ..functions.scalars import min_max, ratio
 from ..runtime import durable
 
@@ -107,7 +107,7 @@ def error_threshold(errors: DataFrame, q: float = 0.99, low: float = 0.9) -> Dat
     if normal.isEmpty():
         normal = errors
     q = max(min(q, 0.9999), low)
-    thr = exact_quantile(value_counts(normal, "err"), F.lit(q)).head()["quantile"]
+    thr = quantiles(normal, "err", [q])[0]
     return normal.agg(F.avg("err").alias("error_mean"), F.stddev_pop("err").alias("error_std")
                       ).withColumn("threshold", F.lit(thr))
 

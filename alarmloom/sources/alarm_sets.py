@@ -10,6 +10,8 @@ from ..operators.metrics import binary_metrics
 ALARM_SCHEMA = "index long, features array<double>, y_true int, y_pred int"
 # Placeholders of the outcome export.
 PLACEHOLDER = {"saddr": "0.0.0.0", "daddr": "0.0.0.0", "start": 0.0, "end": 0.0, "len": 1, "loss": 0.0}
+# Folders that ``save_experiments`` makes.
+KEYED = r"dataset=([^/]+)/data_type=([^/]+)/model=([^/]+)/seed=(-?\d+)/[^/]*$"
 LAYOUT = r"([^/]+)-([^-/]+)-([^-/]+)/(?:split_seed)*(-?\d+)/alert\.json(?:/[^/]*)?$"
 
 
@@ -24,14 +26,29 @@ def discover_experiments(spark: SparkSession, root: str) -> DataFrame:
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     )
-    part = lambda i: F.regexp_extract("path", LAYOUT, i)
-    path = F.regexp_replace("path", r"(/alert\.json)/.*$", "$1")
-    return listed.filter(F.col("path").rlike(LAYOUT)).select(
+    keyed = F.col("path").rlike(KEYED)
+    # characters that a folder cannot hold are percent-encoded in its name; a plus sign stands for itself
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    part = lambda i: F.when(keyed, plain(F.regexp_extract("path", KEYED, i))).otherwise(
+        F.regexp_extract("path", LAYOUT, i))
+    path = F.when(keyed, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.regexp_replace("path", r"(/alert\.json)/.*$", "$1"))
+    return listed.filter(keyed | F.col("path").rlike(LAYOUT)).select(
         part(1).alias("dataset"), part(2).alias("data_type"), part(3).alias("model"),
         part(4).cast("int").alias("seed"), path.alias("alert_path"),
     ).distinct().withColumn("tag", tag_of()).orderBy("dataset", "data_type", "model", "seed")
 
 
+def save_experiments(alarms: DataFrame, root: str, files: int = 16) -> None:
+    """Alarm sets (dataset, data_type, model, seed, ...) as JSON lines, all in one write.
+
+    The rows of a set go to ``files`` files by a hash of their index, so that a set with most of the rows is not one task; ``root`` gets a folder
+    dataset=/data_type=/model=/seed= for each set, which ``discover_experiments`` reads like its own layout.
+    """
+    spread = F.pmod(F.xxhash64("index"), F.lit(files))
+    keys = ["dataset", "data_type", "model", "seed"]
+    alarms.repartition(*keys, spread).write.partitionBy(*keys).json(root)
+
+
 def tag_of():
     return F.concat_ws("-", "dataset", "data_type", "model", F.concat(F.lit("seed"), "seed"))
 

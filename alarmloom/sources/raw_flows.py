@@ -95,12 +95,29 @@ def read_headed(spark: SparkSession, paths: list[str], encoding: str = "UTF-8")
 
 
 def read_headerless(
-    spark: SparkSession, paths: list[str], names: tuple[str, ...], encoding: str = "ISO-8859-1"
+    spark: SparkSession, paths: list[str], names: tuple[str, ...], encoding: str = "windows-1252"
 ) -> DataFrame:
-    """Text columns under the given names; a one-byte encoding never fails on a byte."""
+    """Text columns under the given names; a one-byte encoding never fails on a byte.
+
+    The CSV scan has no windows-1252: such files are read as ISO-8859-1, and the code points in which the two differ are
+    translated. The five bytes without a character keep their ISO-8859-1 control characters.
+    """
+    western = encoding.lower() in ("windows-1252", "cp1252")
     schema = StructType([StructField(n, StringType()) for n in names])
-    return _located(_placed(spark.read.schema(schema).option("header", False).option(
-        "encoding", encoding).csv(paths)), paths)
+    read = spark.read.schema(schema).option("header", False).option("encoding", "ISO-8859-1" if western else encoding).csv(paths)
+    rows = _placed(read)
+    if western:
+        rows = rows.withColumns({n: F.translate(F.col(f"`{n}`"), *_WESTERN) for n in names})
+    return _located(rows, paths)
+
+
+def _western_marks() -> tuple[str, str]:
+    """Control characters of ISO-8859-1 and the characters that windows-1252 has for the same bytes."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, c in pairs if c), "".join(c for _, c in pairs)
+
+
+_WESTERN = _western_marks()
 
 
 # Names of the place of a row while it is being numbered.

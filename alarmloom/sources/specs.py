@@ -53,7 +53,7 @@ _DDOS = DatasetSpec(
     drop=("Unnamed: 0", "Flow ID", " Source IP", " Destination IP", " Timestamp", " Source Port",
           " Destination Port"))
 _NB15 = DatasetSpec(
-    "unsw-nb15", ("Label",), label_mode="mixed", header=NB15_COLUMNS, encoding="ISO-8859-1",
+    "unsw-nb15", ("Label",), label_mode="mixed", header=NB15_COLUMNS, encoding="windows-1252",
     categories=("proto", "service", "state"), drop=("attack_cat", "srcip", "dstip"),
     extra=("attack_cat",), files=("UNSW-NB15_*.csv",),
     stems=("UNSW-NB15_1", "UNSW-NB15_2", "UNSW-NB15_3", "UNSW-NB15_4"),

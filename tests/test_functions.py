@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import alarmloom.functions.ordered as od
@@ -30,6 +31,28 @@ def test_exact_quantile(spark):
         assert abs(od.exact_quantile(c, F.lit(q)).head()["quantile"] - np.quantile(x, q)) < 1e-12
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 100_000])
+def test_quantiles_by_selection(spark, monkeypatch, at_once):
+    """Every turn of the selection, with a coarse sketch and ties, next to numpy."""
+    monkeypatch.setattr(od, "SORTED_AT_ONCE", at_once)
+    monkeypatch.setattr(od, "SKETCH_ACCURACY", 20)
+    rng = np.random.default_rng(9)
+    shares = [0.0, 0.003, 0.13, 0.4, 0.5, 0.6, 0.99, 1.0]
+    scales = rng.normal(0, 1, 400) * 10.0 ** rng.integers(-300, 300, 400)
+    for x in (np.round(rng.normal(0, 1, 301), 1), np.repeat([1.0, 2.0, 3.0], [49, 1, 50]), np.ones(9), scales, np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+        got = od.quantiles(df, "v", shares)
+        assert np.allclose(got, np.quantile(x, shares), rtol=1e-12, atol=0)
+    assert od.quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_selection_writes_nothing_and_narrows(spark, monkeypatch):
+    monkeypatch.setattr(od, "durable", None)
+    monkeypatch.setattr(od, "SORTED_AT_ONCE", 100)
+    df = spark.range(200_000).selectExpr("cast(pmod(id * 7919, 200000) as double) AS v")
+    assert od.quantiles(df, "v", [0.25, 0.9]) == [49_999.75, 179_999.1]
+
+
 def test_number_parsing(spark):
     texts = [" 12 ", "1d", "0x0b", "Infinity", "nan", "", None, "-3.5e2", ".5", "bad"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

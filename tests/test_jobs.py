@@ -10,6 +10,7 @@ import alarmloom.sources.alarm_sets as al
 from alarmloom.operators.detectors import fit_detector
 from alarmloom.plans import experiment as ex
 from alarmloom.runtime import scratch_path
+from alarmloom.sources import raw_flows as rf
 from alarmloom.sources.raw_flows import load_dataset
 from alarmloom.sources.specs import DatasetSpec, dataset_spec
 
@@ -51,12 +52,32 @@ def test_alarm_json_and_discovery(spark):
     assert [r["features"] for r in rows] == [[0.5, 0.0], [0.5, 1.0], [0.5, 2.0]]
 
 
+def test_experiments_in_one_write(spark, tmp_path):
+    """Odd names survive, a large set is several files, and every set is read back from its own folder."""
+    names = [("kdd-99", "csv", "svm", 1), ("a/b+c %41", "flow", "rf", -2)]
+    rows = [(i, [float(i)], i % 2, *names[i % 50 == 0]) for i in range(400)]
+    al.save_experiments(spark.createDataFrame(
+        rows, "index long, features array<double>, y_true int, dataset string, data_type string, model string, seed int"), str(tmp_path / "x"), 4)
+    found = {(r["dataset"], r["data_type"], r["model"], r["seed"]): r["alert_path"] for r in al.discover_experiments(spark, str(tmp_path)).collect()}
+    assert set(found) == set(names)
+    for name, path in found.items():
+        back = {r["index"]: r["features"] for r in al.load_alarms(spark, path, lines=True).collect()}
+        assert back == {r[0]: r[1] for r in rows if r[3:] == name}
+
+
+def test_windows_1252(spark, tmp_path):
+    every = bytes(b for b in range(256) if b not in b'\r\n",\\')
+    (tmp_path / "a.csv").write_bytes(b"x" + every + b"x,\x80 5\n")
+    got = rf.read_headerless(spark, rf.list_files(spark, str(tmp_path)), ("a", "b")).head()
+    text = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in every)
+    assert got["a"] == "x" + text + "x" and got["b"] == "\u20ac 5"
+
+
 def test_rows_follow_file_and_position(spark):
     """Category codes go by first file and first row, whatever the size and the order of the splits."""
     import os
 
     from alarmloom.operators.cleaning import encode_category
-    from alarmloom.sources import raw_flows as rf
     root = scratch_path(spark, "ordered")
     os.makedirs(root)
     with open(f"{root}/a 1.csv", "w") as f:
