@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import durable
-from .common import NULL_ID, col, tune
+from .common import NULL_ID, col, share_join, tune
 
 SHINGLE = 3
 SEED = 42
@@ -96,8 +96,8 @@ def variants(prints: DataFrame) -> DataFrame:
 def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within the distance do; ``prints`` (fp) is distinct."""
     index = variants(prints)
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = durable(index.join(shared, "key"), "simhash")
+    shared = durable(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash")
+    met = durable(share_join(index, shared, ["key"]), "simhash")
     few = met.filter(F.col("n") <= paired).select("key", "s", "i", "fp")
     x = few.select("key", "s", "i", F.col("fp").alias("a"))
     y = few.select("key", F.col("fp").alias("b"))
@@ -119,21 +119,21 @@ def crowded_links(met: DataFrame) -> DataFrame:
         "fp", F.struct(F.col("whole").alias("key"), F.col("s").alias("j"), F.col("m").alias("k"),
                        F.col("o").bitwiseAND(F.col("m")).alias("v")).alias("w"))
     rows = one.unionByName(two)
-    least = rows.groupBy("w").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(least.select("w", "a"), "w").filter("a < fp").select("a", F.col("fp").alias("b"))
+    least = durable(rows.groupBy("w").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "simhash")
+    return share_join(rows, least, ["w"]).filter("a < fp").select("a", F.col("fp").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rhash, fp, component_id) of every row; ``component_id`` is the least id that links reach."""
     prints = durable(fingerprints(docs, id_col, text_col), "simhash")
     ident = F.coalesce("doc_id", F.lit(NULL_ID))
-    distinct = durable(prints.groupBy("fp").agg(F.min(ident).alias("least")), "simhash")
+    distinct = durable(prints.groupBy("fp").agg(F.min(ident).alias("least"), F.count(F.lit(1)).alias("n")), "simhash")
     joined = durable(links(distinct.select("fp")), "simhash")
     edges = joined.select(F.lit(0).alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"))
     nodes = distinct.select(F.lit(0).alias("graph"), F.col("fp").alias("id"))
     comp = connected_components(edges, nodes).select(F.col("id").alias("fp"), "comp")
     by_print = distinct.join(comp, "fp")
     least = by_print.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_print = durable(by_print.join(least, "comp").select("fp", "component_id"), "simhash")
-    return prints.join(of_print, "fp").select("doc_id", "rhash", "fp", F.when(
+    of_print = durable(by_print.join(least, "comp").select("fp", "component_id", "n"), "simhash")
+    return share_join(prints, of_print, ["fp"]).select("doc_id", "rhash", "fp", F.when(
         F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))

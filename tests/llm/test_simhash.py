@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from alarmloom.llm import queries, simhash
+from alarmloom.llm.common import share_join
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 U64 = 2**64 - 1
@@ -93,3 +94,22 @@ def test_odd_rows(odd_docs, no_docs):
     assert set(empty) == {1}
     assert {r["component_id"] for r in rows if r["doc_id"] is None} == {None}
     assert simhash.components(no_docs).count() == 0
+
+
+def test_a_third_of_all_rows_in_one_key(spark, monkeypatch):
+    """Lookups too big to broadcast give the same rows; those of the hot fingerprint stay spread over the tasks."""
+    rows = [(i, "one and the same text" if i % 3 == 0 else f"text {i % 40} of {i % 7}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(simhash.components(docs).collect())
+    joined = []
+
+    def unbroadcast(*args, **kw):
+        joined.append(share_join(*args, **kw, limit=0))
+        return joined[-1]
+
+    monkeypatch.setattr(simhash, "share_join", unbroadcast)
+    out = simhash.components(docs)
+    assert sorted(out.collect()) == want
+    hot = next(r["fp"] for r in want if r["doc_id"] == 0)
+    parts = joined[-1].filter(f"fp = {hot}").selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 200 and max(r["count"] for r in parts) <= 100
