@@ -270,12 +270,12 @@ def _blocks(rows: DataFrame, prefix: str, block_rows: int, cell_rows: dict, extr
 
 
 def _meet(queries: DataFrame, refs: DataFrame, q_cells: dict, r_cells: dict, dims: int,
-          kernel, extra=(), block_rows: int | None = None) -> DataFrame:
+          kernel, extra=(), block_rows: int | None = None, q_extra=()) -> DataFrame:
     """Run a kernel on every (query block, reference block) of the same cell."""
     n_q, n_r = sum(q_cells.values()), sum(r_cells.values())
     lanes = _parallelism(queries)
     q_rows = block_rows or max(32, min(BLOCK_ROWS, -(-n_q // (2 * lanes))))
-    qb = _blocks(queries, "q", q_rows, q_cells)
+    qb = _blocks(queries, "q", q_rows, q_cells, q_extra)
     rb = _blocks(refs, "r", block_rows or BLOCK_ROWS, r_cells, extra)
     if n_r * (dims + 2) * 8 <= BROADCAST_LIMIT:
         # measured size: the reference rows are broadcast and the query blocks stay where they are
@@ -285,7 +285,8 @@ def _meet(queries: DataFrame, refs: DataFrame, q_cells: dict, r_cells: dict, dim
             "rblk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
         ).drop("pieces")
         pairs = spread.join(rb, ["grp", "cell", "rblk"])
-    wanted = ["grp", "q_ids", "q_vecs", "r_ids", "r_vecs", *[f"r_{e}" for e in extra]]
+    wanted = ["grp", "q_ids", "q_vecs", "r_ids", "r_vecs", *[f"r_{e}" for e in extra],
+              *[f"q_{e}" for e in q_extra]]
     return pairs.select(*wanted).mapInArrow(kernel, "grp long, src long, dst long, d double")
 
 

@@ -19,9 +19,10 @@ from ..operators import graph as gr
 from ..operators import neighbors as nb
 from ..operators import sampling as sa
 from ..operators import scoring as sc
+from ..operators.density import dbscan_sweep
 from ..operators.kmeans import kmeans_grid
 from ..functions.vectors import width
-from ..runtime import durable, local_rows, union_all
+from ..runtime import durable, local_rows
 
 # Blend weights, DBSCAN radii and KMeans sizes of the search.
 BLENDS = [0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0]
@@ -159,8 +160,12 @@ def _flat_clustering(points: DataFrame, cells: dict, member: DataFrame) -> Clust
 
 
 def dbscan_clusterings(points: DataFrame, eps: list[float], grid: Grid, sweep: bool = True) -> Clustering:
-    parts = [cl.dbscan(points, e).withColumn("run", F.lit(i).cast("long")) for i, e in enumerate(eps)]
-    return _flat_clustering(points, {i: {"eps": e} for i, e in enumerate(eps)}, union_all(parts))
+    """All radii are cuts of one density forest; a single radius needs none."""
+    if len(eps) == 1:
+        member = cl.dbscan(points, eps[0]).withColumn("run", F.lit(0).cast("long"))
+    else:
+        member = dbscan_sweep(points, eps)
+    return _flat_clustering(points, {i: {"eps": e} for i, e in enumerate(eps)}, member)
 
 
 def kmeans_clusterings(points: DataFrame, sizes: list[int], grid: Grid, sweep: bool = True) -> Clustering:
