@@ -10,6 +10,7 @@ from ..operators import graph as gr
 from ..operators import metrics as me
 from ..operators import neighbors as nb
 from ..operators import scoring as sc
+from ..operators.density import dbscan_sweep
 from ..plans.experiment import BLENDS
 from ..runtime import durable
 from ..sources import adapters as ad
@@ -319,22 +320,35 @@ def gr6(spark, sf):
 DB_EPS = 0.75
 
 
-DBSCAN_SQL = f"""pairs AS (SELECT a.index AS a, b.index AS b FROM vec a JOIN vec b ON list_distance(a.f, b.f) <= {DB_EPS}),
+def dbscan_sql(eps: float) -> str:
+    return f"""pairs AS (SELECT a.index AS a, b.index AS b FROM vec a JOIN vec b ON list_distance(a.f, b.f) <= {eps}),
 core AS (SELECT a AS id FROM pairs GROUP BY a HAVING count(*) >= 5),
 link AS (SELECT a, b FROM pairs WHERE a IN (FROM core) AND b IN (FROM core)),
 reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 comp AS (SELECT a AS id, min(b) AS cid FROM reach GROUP BY a),
-border AS (SELECT p.a AS id, min(c.cid) AS cid FROM pairs p JOIN comp c ON p.b = c.id WHERE p.a NOT IN (FROM core) GROUP BY p.a)"""
+border AS (SELECT p.a AS id, min(c.cid) AS cid FROM pairs p JOIN comp c ON p.b = c.id WHERE p.a NOT IN (FROM core) GROUP BY p.a),
+dense AS (SELECT v.index AS id, coalesce(c.cid, b.cid, -1 - v.index) AS cid,
+  CASE WHEN c.cid IS NOT NULL THEN 'core' WHEN b.cid IS NOT NULL THEN 'border' ELSE 'noise' END AS kind
+  FROM vec v LEFT JOIN comp c ON v.index = c.id LEFT JOIN border b ON v.index = b.id)"""
 
 
-@query("gr8_dbscan", f"""WITH RECURSIVE {SELECTED}, {DBSCAN_SQL}
-SELECT v.index AS id, coalesce(c.cid, b.cid, -1 - v.index) AS cid,
-  CASE WHEN c.cid IS NOT NULL THEN 'core' WHEN b.cid IS NOT NULL THEN 'border' ELSE 'noise' END AS kind
-FROM vec v LEFT JOIN comp c ON v.index = c.id LEFT JOIN border b ON v.index = b.id""")
+@query("gr8_dbscan", f"WITH RECURSIVE {SELECTED}, {dbscan_sql(DB_EPS)} SELECT id, cid, kind FROM dense")
 def gr8(spark, sf):
     return cl.dbscan(selected(spark, sf), DB_EPS).select("id", "cid", "kind")
 
 
+SWEEP_EPS = [0.65, 0.67, 0.7, 0.75]
+
+
+@query("gr8_density_sweep", " UNION ALL ".join(
+    f"SELECT * FROM (WITH RECURSIVE {SELECTED}, {dbscan_sql(e)} SELECT {e}::DOUBLE AS eps, id, cid, kind FROM dense)"
+    for e in SWEEP_EPS))
+def gr8_sweep(spark, sf):
+    """Density clusters at every radius, as cuts of one forest."""
+    got = dbscan_sweep(selected(spark, sf), SWEEP_EPS)
+    return got.select(gr.per_key("run", dict(enumerate(SWEEP_EPS))).alias("eps"), "id", "cid", "kind")
+
+
 CC_EPS = 0.7
 
 

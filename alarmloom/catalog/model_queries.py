@@ -19,7 +19,7 @@ from ..sources import adapters as ad
 from ..sources import alarm_sets as al
 from ..streaming.online import filter_batch, filter_stream
 from .feature_queries import GRAPH_SQL, selected
-from .filter_queries import DBSCAN_SQL, curve_sql
+from .filter_queries import PROFILE_SQL, RULES_SQL, curve_sql, dbscan_sql
 from .ingest_queries import key
 from .registry import ALARMS, NORMED, SELECTED, knn_sql, query, r6
 
@@ -307,24 +307,45 @@ def pipe6(spark, sf):
     return described(ab.without_features(ad.alarms(spark, sf), GRID))
 
 
-ABLATION_EPS = 0.75
+ABLATION_EPS = [0.65, 0.67, 0.7]
 
 
-@query("pipe7_dbscan_instead_of_graph", f"""WITH RECURSIVE {SELECTED}, {DBSCAN_SQL},
-m AS (SELECT v.index AS id, v.y_true, coalesce(c.cid, b.cid, -1 - v.index) AS cid FROM vec v LEFT JOIN comp c ON v.index = c.id LEFT JOIN border b ON v.index = b.id),
-z AS (SELECT cid, count(*) AS n FROM m GROUP BY 1), e AS (SELECT min(n) AS lo, max(n) AS hi FROM z),
-s AS (SELECT y_true, CASE WHEN n >= 5 THEN CASE WHEN hi > lo THEN (n - lo) / (hi - lo) ELSE 0.5 END ELSE 0.0 END AS score FROM m JOIN z USING (cid), e), {curve_sql('s')}
-SELECT tau, round(r_fpr, 6) + 0.0 AS r_fpr, round(r_tpr, 6) + 0.0 AS r_tpr FROM curve""")
+def dense_alarms_sql(eps: float) -> str:
+    """Density clusters, merged below five rows, profiled and scored by every rule."""
+    profiles, rules = (part.replace("FROM vec v", "FROM merged v") for part in (PROFILE_SQL, RULES_SQL))
+    return f"""WITH RECURSIVE {SELECTED}, {knn_sql(10)}, {dbscan_sql(eps)},
+held AS (SELECT d.id, d.cid, v.f, v.y_true, count(*) OVER (PARTITION BY d.cid) >= 5 AS big FROM dense d JOIN vec v ON d.id = v.index),
+close AS (SELECT a.id, b.cid, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.f, b.f), b.id) AS place
+  FROM held a JOIN held b ON b.big WHERE NOT a.big QUALIFY place <= 5),
+ballot AS (SELECT id, cid, count(*) AS c FROM close GROUP BY 1, 2),
+moved AS (SELECT id, cid FROM ballot QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, cid) = 1),
+merged AS (SELECT h.id AS index, h.y_true, h.f, CASE WHEN h.big THEN h.cid ELSE m.cid END AS given_cid
+  FROM held h LEFT JOIN moved m USING (id) WHERE h.big OR m.cid IS NOT NULL),
+{profiles}, {rules}"""
+
+
+@query("pipe7_dbscan_instead_of_graph", f"""{dense_alarms_sql(ABLATION_EPS[0])},
+one AS (SELECT * FROM alarm WHERE rule = 'combined_fwd'), {curve_sql('one')}
+SELECT tau_6 AS tau, max(r_fpr) AS r_fpr, max(r_tpr) AS r_tpr FROM (
+  SELECT round(tau, 6) + 0.0 AS tau_6, round(r_fpr, 6) + 0.0 AS r_fpr, round(r_tpr, 6) + 0.0 AS r_tpr FROM curve) GROUP BY 1""")
 def pipe7(spark, sf):
-    """Density clusters scored by the size rule, before merging, as a curve."""
-    from ..operators import clusters as cl
+    """The curve of one radius and rule over merged and profiled density clusters."""
+    x = selected(spark, sf)
+    cells = ex.cluster_cells(x, ex.dbscan_clusterings(x, ABLATION_EPS[:1], GRID), [5], ["combined_fwd"])
+    curve = ev.threshold_curve(ex.cell_alarms(x, cells))
+    return curve.groupBy(r6("tau").alias("tau")).agg(
+        F.max(r6("r_fpr")).alias("r_fpr"), F.max(r6("r_tpr")).alias("r_tpr"))
+
+
+@query("pipe7_dbscan_sweep", " UNION ALL ".join(
+    f"SELECT * FROM ({dense_alarms_sql(e)}, {curve_sql('alarm', 'rule')} "
+    f"SELECT {e}::DOUBLE AS eps, rule, round(auc, 6) + 0.0 AS auc FROM area)" for e in ABLATION_EPS))
+def pipe7_sweep(spark, sf):
+    """All radii and rules in one evaluation of merged and profiled density clusters."""
     x = selected(spark, sf)
-    m = durable(cl.dbscan(x, ABLATION_EPS).select(F.lit(0).cast("long").alias("run"), "id", "cid"))
-    sizes = m.groupBy("run", "cid").agg(F.count("*").alias("size"))
-    prof = sizes.select("*", F.lit(1.0).alias("avg_intra_dist"), F.lit(1.0).alias("avg_kdist"))
-    rows = sc.alarm_scores(m, sc.score_clusters(prof, ["size_large"])).join(
-        x.select(F.col("index").alias("id"), "y_true"), "id")
-    return ev.threshold_curve(rows).select("tau", r6("r_fpr").alias("r_fpr"), r6("r_tpr").alias("r_tpr"))
+    auc, cells = ex.sweep_auc(x, ex.dbscan_clusterings(x, ABLATION_EPS, GRID), [5], list(GRID.rules))
+    radius = {i: cell["eps"] for i, cell in cells.index.items()}
+    return auc.select(gr.per_key("cell", radius).alias("eps"), "rule", r6("auc").alias("auc"))
 
 
 @query("pipe7_dbscan_variant")

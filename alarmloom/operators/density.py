@@ -131,6 +131,27 @@ def _shortest(out: DataFrame) -> DataFrame:
         F.min("e").alias("best"))
 
 
+def _joined(best: DataFrame) -> DataFrame:
+    """(comp, _to): components that their shortest edges connect get one name.
+
+    Every component points to the other end of its edge, so following the pointers ends in a circle. Pointers double
+    in each step; ``low`` is the least component passed so far. The least one passed from the pointer
+    on names the whole tree as soon as it is the same at both ends of every first pointer.
+    """
+    b = F.col("best")
+    t = durable(best.select("comp", F.when(b["ca"] == F.col("comp"), b["cb"]).otherwise(b["ca"]).alias("to"))
+                .select("comp", "to", F.col("to").alias("far"), F.col("comp").alias("low")), "pointers")
+    while True:
+        ahead = t.select(F.col("comp").alias("far"), F.col("far").alias("_far"), F.col("low").alias("_low"))
+        t = durable(lookup_join(t, ahead, ["far"], ["comp"]).select(
+            "comp", "to", F.col("_far").alias("far"), F.least("low", "_low").alias("low"),
+            F.col("_low").alias("name")), "pointers")
+        other = t.select(F.col("comp").alias("to"), F.col("name").alias("_name"))
+        if lookup_join(t.select("comp", "to", "name"), other, ["to"], ["comp"]).filter(
+                F.col("name") != F.col("_name")).isEmpty():
+            return t.select("comp", F.col("name").alias("_to"))
+
+
 def density_forest(
     points: DataFrame, reach: float, min_samples: int = 5, rows_per_cell: int = nb.ROWS_PER_CELL,
     block_rows: int | None = None,
@@ -181,18 +202,12 @@ def density_forest(
         found, state = _searched(placed, state, best, pivots, radius, r_cells, reach, d.dims, kernel, block_rows)
         if found is not None:
             out = durable(out.unionByName(_labelled(found, state)), "out")
-            best = _shortest(out)
-        picked = durable(best.select("best.*").distinct(), "picked")
-        if picked.isEmpty():
+            best = durable(_shortest(out), "best")
+        if best.isEmpty():
             break
-        grown.append(picked.select("src", "dst", "w"))
-        graph = F.lit(0).cast("long").alias("graph")
-        ids = picked.select(graph, F.explode(F.array("ca", "cb")).alias("id")).distinct()
-        joined = durable(connected_components(
-            picked.select(graph, F.col("ca").alias("src"), F.col("cb").alias("dst")), ids), "joined")
-        state = durable(lookup_join(
-            state, joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to")), ["comp"], ["uid"], "left"
-        ).select("uid", F.coalesce("_to", "comp").alias("comp"), "low"), "state")
+        grown.append(best.select("best.src", "best.dst", "best.w").distinct())
+        state = durable(lookup_join(state, _joined(best), ["comp"], ["uid"], "left").select(
+            "uid", F.coalesce("_to", "comp").alias("comp"), "low"), "state")
         edges = out.select("src", "dst", "w")
     if grown:
         forest.edges = durable(union_all(grown), "forest")
