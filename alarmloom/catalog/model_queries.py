@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import baselines as bl
@@ -403,3 +405,17 @@ def on1_stream(spark, sf):
     return spark.read.parquet(out).select("id", "cid", r6("score").alias("score"), "removed")
 
 
+@query("on1_trailing_stream")
+def on1_trailing(spark, sf):
+    """Two batches of very uneven size, cut where the frozen share of all scores so far lies."""
+    grid = replace(GRID, quantile_tau=True)
+    d, c = swept(spark, sf)
+    frozen = ex.finalize(d, ex.search(d.sweep, c, grid), grid, c)[0]
+    src, out = scratch_path(spark, "arrivals"), scratch_path(spark, "filtered")
+    rows = ad.alarms(spark, sf).select("index", "features")
+    small = F.col("index") % 10 == 0
+    for part in (rows.filter(~small), rows.filter(small)):
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("index long, features array<double>").parquet(src)
+    filter_stream(stream, frozen, d.dims, out, scratch_path(spark, "offsets"), grid, trailing=10).awaitTermination()
+    return spark.read.parquet(out).select("id", "cid", r6("score").alias("score"), "removed")
