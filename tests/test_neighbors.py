@@ -92,3 +92,43 @@ def test_majority_vote_takes_lowest_label_on_tie(spark):
     refs = spark.createDataFrame([(10, [0.0], 7), (11, [0.0], 3)], "index long, features array<double>, c long")
     q = points(spark, np.array([[0.1]]))
     assert nb.majority_vote(q, refs, "c").head()["c"] == 3
+
+
+def block_pairs(n, rows=8, dims=3):
+    """``n`` pairs of blocks as a kernel gets them, all in one batch."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(5).normal(0, 1, (2, n, rows * dims))
+    ids = [list(range(rows))] * n
+    return pa.RecordBatch.from_pydict({
+        "grp": [0] * n, "q_ids": ids, "q_vecs": x[0].tolist(), "r_ids": ids, "r_vecs": x[1].tolist(), "r_mult": [[1] * rows] * n}), x
+
+
+@pytest.mark.parametrize("tile", [1, 24, 1 << 20])
+def test_kernels_hand_on_each_block_pair(monkeypatch, tile):
+    """What a kernel holds must not grow with the block pairs of a batch, nor with the distances of a pair."""
+    monkeypatch.setattr(nb, "TILE", tile)
+    batch, x = block_pairs(5)
+    want = [distances(q.reshape(-1, 3), r.reshape(-1, 3)) for q, r in zip(*x)]
+    got = list(nb._nearest_kernel(3, 2)([batch]))
+    assert len(got) == 5
+    for b, d in zip(got, want):
+        assert b.column("dst").to_pylist() == np.argsort(d, axis=1)[:, :2].ravel().tolist()
+    for mode in ("pairs", "count", "forest"):
+        out = list(nb._within_kernel(3, 1.5, mode)([batch]))
+        assert len(out) >= 5
+        if mode == "pairs":
+            assert sum(b.num_rows for b in out) == sum(int((d <= 1.5).sum()) for d in want)
+        if mode == "count":
+            assert sum(sum(b.column("dst").to_pylist()) for b in out) == sum(int((d <= 1.5).sum()) for d in want)
+
+
+def test_visits_are_handed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(nb, "VISITS", 16)
+    x = np.random.default_rng(6).normal(0, 1, (40, 2))
+    b = pa.RecordBatch.from_pydict({"grp": [0] * 40, "uid": list(range(40)), "vec": x.tolist(), "bound": [9.0] * 40})
+    kernel = nb._reach_kernel(x[:4], {0: np.full(4, 9.0)}, {0: np.full(4, 10.0)})
+    out = list(kernel([b]))
+    assert max(o.num_rows for o in out) <= 16 and sum(o.num_rows for o in out) == 160
