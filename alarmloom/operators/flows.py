@@ -96,16 +96,25 @@ def gap_histogram(packets: DataFrame, shift: int = GAP_SHIFT) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("ipt"))
 
 
+def dense_counts(counts: str, n: int) -> Column:
+    """Array of ``n`` counts from a map of bins in rising order, or null for none: runs of zeros and the counts between them, so
+    that a bin is looked at once and no map is searched."""
+    entry = "array<struct<key:int,value:bigint>>"
+    entries = F.coalesce(F.map_entries(counts), F.array().cast(entry))
+    ends = F.concat(entries, F.array(F.struct(F.lit(n).alias("key"), F.lit(None).cast("long").alias("value"))).cast(entry))
+    before = F.concat(F.array(F.lit(-1)), F.transform(entries, lambda e: e["key"]))
+    zero = F.lit(0).cast("long")
+    return F.flatten(F.zip_with(before, ends, lambda p, e: F.concat(
+        F.array_repeat(zero, e["key"] - p - 1), F.when(e["value"].isNull(), F.array().cast("array<bigint>")).otherwise(F.array(e["value"])))))
+
+
 def markers(packets: DataFrame, use_gaps: bool = False) -> DataFrame:
     """(flow, features): length counts as doubles, followed by gap counts when asked for."""
     pl = length_histogram(packets)
     if not use_gaps:
         return pl.select(*FLOW, F.col("pl").cast("array<double>").alias("features"))
-    ipt = F.transform(F.sequence(F.lit(0), F.lit(gap_bins() - 1)), lambda i: F.coalesce(
-        F.element_at(F.coalesce("ipt", F.expr("map_from_arrays(array(), array())").cast(
-            "map<int,bigint>")), i), F.lit(0).cast("long")))
     both = pl.join(gap_histogram(packets), FLOW, "left")
-    return both.select(*FLOW, F.concat("pl", ipt).cast("array<double>").alias("features"))
+    return both.select(*FLOW, F.concat("pl", dense_counts("ipt", gap_bins())).cast("array<double>").alias("features"))
 
 
 def class_from_path(

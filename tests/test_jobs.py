@@ -1,3 +1,4 @@
+import re
 import json
 
 import numpy as np
@@ -200,3 +201,29 @@ def test_dataset_registry():
         dataset_spec("unheard of")
     with pytest.raises(ValueError):
         dataset_spec("kdd", "pcap")
+
+
+def test_dense_counts_are_the_map(spark):
+    from alarmloom.operators.flows import dense_counts
+
+    maps = [{}, None, {0: 3}, {4: 1}, {0: 2, 1: 5, 4: 7}, {2: 9}]
+    df = spark.createDataFrame(list(enumerate(maps)), "i int, m map<int,bigint>")
+    got = {r["i"]: r["x"] for r in df.select("i", dense_counts("m", 5).alias("x")).collect()}
+    assert got == {i: [(m or {}).get(j, 0) for j in range(5)] for i, m in enumerate(maps)}
+
+
+def test_gap_markers_look_at_every_bin_once(spark):
+    """No map is searched bin by bin: that took time with bins times entries."""
+    from alarmloom.operators import flows as fl
+
+    rows = spark.range(40).selectExpr("'a/b' AS pcap_path", "'x' AS ip1", "1 AS p1", "'y' AS ip2", "2 AS p2", "6 AS proto",
+                                      "CAST(id * id AS double) AS ts", "CAST(100 AS int) AS len")
+    m = fl.markers(rows, use_gaps=True)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"element_at\((coalesce\()?ipt", plan)
+    x = m.head()["features"]
+    want = [0.0] * (fl.length_bins() + fl.gap_bins())
+    want[100 >> 4] = 40.0
+    for i in range(1, 40):
+        want[fl.length_bins() + ((2 * i - 1) * 1000 >> 6)] += 1.0
+    assert x == want
