@@ -132,3 +132,13 @@ def test_salted_lookup_keeps_a_column_of_the_callers(spark, monkeypatch):
     out = runtime.lookup_join(rows, lookup, ["k"], ["id"], "left")
     assert sorted(out.columns) == ["__salt", "_salt", "id", "k"]
     assert {(r["id"], r["_salt"], r["__salt"]) for r in out.collect()} == {(i, f"s{i}", {0: "a", 1: "b"}.get(i % 3)) for i in range(60)}
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_lookups_of_many_rows_stay_off_the_driver(spark, hot):
+    rows = spark.range(50).selectExpr("id % 7 AS k", "id")
+    lookup = spark.range(5).selectExpr("id AS k", "id * 2 AS v")
+    out = runtime.lookup_join(rows, lookup, ["k"], ["id"], "left", 200_000, hot=hot)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and ("explode" in plan) == hot
+    assert {(r["id"], r["v"]) for r in out.collect()} == {(i, i % 7 * 2 if i % 7 < 5 else None) for i in range(50)}

@@ -1,5 +1,5 @@
-import re
 import json
+import re
 
 import numpy as np
 import pytest
