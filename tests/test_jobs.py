@@ -227,3 +227,24 @@ def test_gap_markers_look_at_every_bin_once(spark):
     for i in range(1, 40):
         want[fl.length_bins() + ((2 * i - 1) * 1000 >> 6)] += 1.0
     assert x == want
+
+
+def test_training_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """Rows of a single part go to even parts, the same ones in whatever order they come."""
+    from alarmloom.operators import detectors as de
+
+    monkeypatch.setattr(de, "ROWS_PER_TASK", 500)
+    data = spark.range(4000).select(
+        (F.col("id") % 7).alias("index"), F.array(F.col("id").cast("double"), F.rand(3)).alias("features"),
+        (F.col("id") % 2).cast("int").alias("y_true")).coalesce(1).localCheckpoint()
+    parts = lambda df: [p for p in df.rdd.glom().collect()]
+    got = parts(de.dealt(data))
+    assert len(got) == min(spark.sparkContext.defaultParallelism, 8) > 1
+    assert max(map(len, got)) < 2 * 4000 / len(got)
+    assert got == parts(de.dealt(data.orderBy(F.desc("y_true"), F.rand(5))))
+    assert sorted(r["features"] for p in got for r in p) == sorted(r["features"] for r in data.collect())
+    seen = []
+    monkeypatch.setattr(de.RandomForestClassifier, "fit", lambda self, x: seen.append(x.rdd.getNumPartitions()))
+    fit_detector("rf", data)
+    assert seen == [len(got)]
+    assert de.dealt(data.limit(400)).rdd.getNumPartitions() == 1
