@@ -132,3 +132,18 @@ def test_visits_are_handed_on_in_parts(monkeypatch):
     kernel = nb._reach_kernel(x[:4], {0: np.full(4, 9.0)}, {0: np.full(4, 10.0)})
     out = list(kernel([b]))
     assert max(o.num_rows for o in out) <= 16 and sum(o.num_rows for o in out) == 160
+
+
+def test_a_bounded_block_hands_on_only_what_may_be_nearest():
+    """The second round of the join knows how far the k-th neighbour is at most."""
+    rng = np.random.default_rng(8)
+    q, r = rng.random((40, 3)), np.vstack([rng.random((300, 3)), rng.random((1, 3))])
+    d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(2))
+    bound = np.sort(d, 1)[:, 1]
+    bound[:5], bound[5] = 0.0, 10.0  # nothing in reach; all in reach
+    qid, rid = np.arange(40), np.arange(len(r)) + 1000
+    got = nb._nearest_in_block(q, qid, r, rid, 4, bound)
+    want = {(i, int(j) + 1000) for i in range(40) for j in np.lexsort((np.arange(len(r)), d[i]))[:4] if d[i, j] <= bound[i]}
+    assert want == set(zip(got[0].tolist(), got[1].tolist()))
+    loose = nb._nearest_in_block(q, qid, r, rid, 4, np.full(40, 10.0))
+    assert len(loose[0]) == 4 * 40
