@@ -248,3 +248,43 @@ def test_training_rows_are_dealt_to_all_cores(spark, monkeypatch):
     fit_detector("rf", data)
     assert seen == [len(got)]
     assert de.dealt(data.limit(400)).rdd.getNumPartitions() == 1
+
+
+def test_experiments_run_side_by_side(spark, tmp_path, monkeypatch):
+    """Two experiments meet while both run; rows come in the order of the experiments, and none is run again."""
+    import threading
+
+    from alarmloom.plans import batch as ba
+
+    meeting = threading.Barrier(2, timeout=30)
+    alarms = spark.range(4).select(F.col("id").alias("index"), F.array(F.lit(1.0)).alias("features"), F.lit(1).alias("y_true"))
+
+    def experiment(rows, grid):
+        n = rows.count()
+        meeting.wait()
+        return {"n_test": n, "filter_auc": 0.5}
+
+    monkeypatch.setattr(ba, "run_experiment", experiment)
+    monkeypatch.setattr(ba, "run_variant", lambda variant, rows, grid: meeting.wait() and None)
+    root, out = str(tmp_path / "root"), str(tmp_path / "out")
+    for seed in (16, 17):
+        (tmp_path / "root" / "vec-csv-svm" / f"split_seed{seed}").mkdir(parents=True)
+        (tmp_path / "root" / "vec-csv-svm" / f"split_seed{seed}" / "alert.json").write_text("[]")
+    load = lambda spark, path: alarms
+    done = ba.run_batch(spark, root, out, load=load)
+    assert sorted((r["seed"], r["n_test"]) for r in done.collect()) == [(16, 4), (17, 4)]
+    assert ba.run_batch(spark, root, out, load=load).count() == 2
+    rows = ba.run_ablation(spark, root, str(tmp_path / "ablation"), prior=done, variants=["Full", "w/o Blend"], load=load)
+    assert sorted((r["seed"], r["variant"], r["auc"]) for r in rows.collect()) == [
+        (16, "Full", 0.5), (16, "w/o Blend", None), (17, "Full", 0.5), (17, "w/o Blend", None)]
+
+
+def test_a_failed_task_ends_its_company(spark):
+    from alarmloom.runtime import side_by_side
+
+    def bad():
+        raise ValueError("bad")
+
+    assert list(side_by_side(spark, [lambda: spark.range(3).count(), lambda: 5])) == [3, 5]
+    with pytest.raises(ValueError, match="bad"):
+        list(side_by_side(spark, [bad, lambda: 1]))
