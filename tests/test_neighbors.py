@@ -74,6 +74,21 @@ def test_range_join_modes(spark, blocks):
     assert components(len(x), [(r.src, r.dst) for r in forest]) == components(len(x), pairs)
 
 
+def test_pairs_of_vectors_without_copies_are_not_joined_again(spark):
+    """Two vectors of one id are two rows, as in SQL; pairs meet no table of copies unless there are copies."""
+    df = spark.createDataFrame([(1, [0.0]), (1, [0.5]), (2, [10.0])], "index long, features array<double>")
+    rows = sorted((r.src, r.dst, r.d) for r in nb.range_join(df, 1.0).collect())
+    assert rows == [(1, 1, 0.0), (1, 1, 0.0), (1, 1, 0.5), (1, 1, 0.5), (2, 2, 0.0)]
+
+
+def test_pairs_of_copies(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [0.5]), (4, [9.0]), (4, [9.0])], "index long, features array<double>")
+    others = spark.createDataFrame([(7, [0.1]), (8, [0.1]), (9, [20.0])], "index long, features array<double>")
+    own = sorted((r.src, r.dst) for r in nb.range_join(df, 1.0).collect())
+    assert own == sorted([(i, j) for i in (1, 2, 3) for j in (1, 2, 3)] + [(4, 4)] * 4)
+    assert sorted((r.src, r.dst) for r in nb.range_join(df, 1.0, others=others).collect()) == [(i, j) for i in (1, 2, 3) for j in (7, 8)]
+
+
 def components(n, edges):
     root = list(range(n))
 
