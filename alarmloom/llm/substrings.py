@@ -35,6 +35,9 @@ from .pretokens import slices
 WINDOW = 13
 GRAM = 7
 PHRASE = 32
+# Bytes of a written table of hashes that is broadcast: as rows and hash table it takes about eight times as much, and the driver holds those of
+# earlier joins, too.
+SMALL = 1024 * 1024
 
 _rng = np.random.default_rng(2009)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -236,20 +239,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     times = F.count(F.lit(1)).alias("n")
     known = durable(phrases.groupBy("h1", "h2").agg(F.min("rid").alias("owner"), times).filter("n > 1"), "rlz")
-    owned = share_join(phrases.withColumnRenamed("n", "size"), known, ["h1", "h2"], "left")
+    owned = share_join(phrases.withColumnRenamed("n", "size"), known, ["h1", "h2"], "left", SMALL)
     factors = durable(owned.filter("owner < rid").groupBy("rid", "rhash").agg(
         F.collect_set(F.struct("start", F.col("size").alias("n"))).alias("factors")), "rlz")
 
     anchors = owned.filter("owner is null or owner >= rid").select("rid", "rhash", F.explode("anchors").alias("anchor"))
     shared = durable(anchors.groupBy("anchor").agg(F.min("rid").alias("x"), F.max("rid").alias("y"), times).filter("x < y").select(
         "anchor", "n"), "rlz")
-    open_docs = share_join(anchors, shared, ["anchor"]).groupBy("rid", "rhash").agg(F.collect_set("anchor").alias("shared"))
+    open_docs = share_join(anchors, shared, ["anchor"], limit=SMALL).groupBy("rid", "rhash").agg(F.collect_set("anchor").alias("shared"))
     look = durable(open_docs.join(factors, ["rid", "rhash"], "left"), "rlz")
     windows = durable(rows.join(look, ["rid", "rhash"]).select("rid", "rhash", "text", "shared", "factors").mapInArrow(
         _open_windows, "rid long, rhash long, at int, w1 long, w2 long"), "rlz")
 
     index = durable(windows.groupBy("w1", "w2").agg(F.min("rid").alias("owner"), times).filter("n > 1"), "rlz")
-    found = share_join(windows, index, ["w1", "w2"]).filter("owner < rid").groupBy("rid", "rhash").agg(
+    found = share_join(windows, index, ["w1", "w2"], limit=SMALL).filter("owner < rid").groupBy("rid", "rhash").agg(
         F.collect_set("at").alias("windows"))
     return durable(found.join(factors, ["rid", "rhash"], "full"), "rlz")
 

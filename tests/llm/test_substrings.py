@@ -69,3 +69,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert got(cut, n, s) == sorted(kept(rows), key=str)
     empty, _, _ = substrings.remove_repeats(no_docs)
     assert empty.count() == 0
+
+
+def test_large_tables_of_hashes_are_not_broadcast(spark, documents, monkeypatch):
+    """Whether tables of hashes are small enough to be broadcast changes no result."""
+    cut = lambda: sorted((r["doc_id"], r["text"], r["n_words"]) for r in substrings.remove_repeats(documents)[0].collect())
+    want = cut()
+    sizes = []
+    monkeypatch.setattr(substrings, "SMALL", -1)
+    joined = substrings.share_join
+
+    def seen(*args, **kwargs):
+        sizes.append(kwargs.get("limit", args[4] if len(args) > 4 else None))
+        return joined(*args, **kwargs)
+
+    monkeypatch.setattr(substrings, "share_join", seen)
+    assert cut() == want and sizes == [-1, -1, -1]
