@@ -66,6 +66,23 @@ def test_components_without_broadcast(spark, monkeypatch):
     assert got == {i: want[i] for i in got}
 
 
+def test_component_round_reads_its_edges_four_times(spark, monkeypatch):
+    """The driver keeps what it knows of every node, stage and task: a round is planned with four scans and four exchanges."""
+    plans = []
+
+    def noted(df, label="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rt.durable(df, label)
+
+    monkeypatch.setattr(gr, "durable", noted)
+    e, v = graph(spark, [(i, i + 1) for i in range(20)] + [(30, 30)])
+    want = components(31, [(i, i + 1) for i in range(20)])
+    assert {r["id"]: r["comp"] for r in gr.connected_components(e, v).collect()} == {i: want[i] for i in [*range(21), 30]}
+    assert len(plans) > 2
+    for p in plans[1:]:
+        assert p.count("FileScan") <= 4 and p.count("Exchange hashpartitioning") <= 4
+
+
 def test_quality_and_density(spark):
     pairs = [(0, 1), (1, 2), (0, 2), (3, 4), (2, 3)]
     e, v = graph(spark, pairs)
