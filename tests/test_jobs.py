@@ -279,6 +279,30 @@ def test_experiments_run_side_by_side(spark, tmp_path, monkeypatch):
         (16, "Full", 0.5), (16, "w/o Blend", None), (17, "Full", 0.5), (17, "w/o Blend", None)]
 
 
+def test_a_failed_variant_is_no_result(spark, tmp_path, monkeypatch):
+    """Whatever fails, also where metrics are first computed: the others get rows, the failure is an error, and is run again."""
+    from alarmloom.plans import batch as ba
+
+    broken = {"w/o Blend", "w/o AdaptSc"}
+    metrics = spark.range(1).selectExpr("0.5D AS auc", "0.1D AS r_fpr", "0.9D AS r_tpr", "2D AS CER")
+
+    def variant(name, rows, grid):
+        if name in broken and name == "w/o Blend":
+            raise ValueError("no such luck")
+        return None, metrics.withColumn("auc", F.raise_error(F.lit("out of reach")).cast("double")) if name in broken else metrics
+
+    monkeypatch.setattr(ba, "run_variant", variant)
+    (tmp_path / "root" / "vec-csv-svm" / "split_seed16").mkdir(parents=True)
+    (tmp_path / "root" / "vec-csv-svm" / "split_seed16" / "alert.json").write_text("[]")
+    names = ["w/o Blend", "w/o AdaptSc", "Full", "w/o FeatSel"]
+    run = lambda: ba.run_ablation(spark, str(tmp_path / "root"), str(tmp_path / "out"), variants=names, load=lambda *a: metrics)
+    with pytest.raises(RuntimeError, match="w/o Blend: no such luck"):
+        run()
+    assert sorted((r["variant"], r["auc"]) for r in ba.read_results(spark, str(tmp_path / "out")).collect()) == [("Full", 0.5), ("w/o FeatSel", 0.5)]
+    broken.clear()
+    assert sorted((r["variant"], r["auc"]) for r in run().collect()) == [(n, 0.5) for n in sorted(names)]
+
+
 def test_a_failed_task_ends_its_company(spark):
     from alarmloom.runtime import side_by_side
 
