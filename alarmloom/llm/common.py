@@ -17,6 +17,10 @@ from ..runtime import BROADCAST_LIMIT, planned_bytes
 # A key with more than this part of all rows is joined by broadcast: there are at most so many.
 HOT_KEYS = 2048
 
+# Spark broadcasts a table by its own estimate only below this many bytes: it sizes what an explode repeats, or a compressed file
+# holds, far too low, and the driver holds several at once.
+GUESSED_LIMIT = 256 * 1024
+
 # What stands for a null id inside joins, so that it equals itself.
 NULL_ID = -(2**63)
 
@@ -54,16 +58,19 @@ def identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounded Arrow batches, and shuffle files that go with the job that wrote them."""
+    """Bounded Arrow batches, shuffle files that go with the job that wrote them, and no broadcast of more than
+    ``GUESSED_LIMIT`` that no operator asks for."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    if spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > GUESSED_LIMIT:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(GUESSED_LIMIT))
 
 
-def share_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_LIMIT) -> DataFrame:
+def share_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_LIMIT // 16) -> DataFrame:
     """``rows`` with the columns of their key's row in ``lookup`` (keys, n, ...), where n counts the rows of a key.
 
-    A written ``lookup`` of at most ``limit`` bytes is broadcast. Of a larger one only the keys that hold more than 1 / HOT_KEYS of the counted
+    A written ``lookup`` of at most ``limit`` bytes is broadcast (rows and their hash table take about eight times as much). Of a larger one only the keys that hold more than 1 / HOT_KEYS of the counted
     rows are, at most HOT_KEYS of them; the rows of all other keys meet in a shuffle."""
     if planned_bytes(lookup) <= limit:
         return rows.join(F.broadcast(lookup), keys, how)

@@ -97,14 +97,15 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within the distance do; ``prints`` (fp) is distinct."""
     index = variants(prints)
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = durable(index.join(shared, "key"), "simhash")
+    # Spark sizes what an explode repeats like the rows before it, so it would broadcast these lookups
+    met = durable(index.join(shared.hint("merge"), "key"), "simhash")
     few = met.filter(F.col("n") <= paired).select("key", "s", "i", "fp")
     x = few.select("key", "s", "i", F.col("fp").alias("a"))
     y = few.select("key", F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     # pairs that agree on the whole segment meet under all of its keys; the first one counts
     here = (F.getbit(differ, F.col("s") * HALF + F.col("i")) == 1) | (F.col("i") == 0)
-    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & here & (F.bit_count(differ) <= DISTANCE)).select("a", "b")
+    pairs = x.join(y.hint("merge"), "key").filter((F.col("a") < F.col("b")) & here & (F.bit_count(differ) <= DISTANCE)).select("a", "b")
     return pairs.unionByName(crowded_links(met.filter(F.col("n") > paired))).distinct()
 
 
@@ -120,7 +121,7 @@ def crowded_links(met: DataFrame) -> DataFrame:
                        F.col("o").bitwiseAND(F.col("m")).alias("v")).alias("w"))
     rows = one.unionByName(two)
     least = rows.groupBy("w").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(least.select("w", "a"), "w").filter("a < fp").select("a", F.col("fp").alias("b"))
+    return rows.join(least.select("w", "a").hint("merge"), "w").filter("a < fp").select("a", F.col("fp").alias("b"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +133,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     edges = joined.select(F.lit(0).alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"))
     nodes = distinct.select(F.lit(0).alias("graph"), F.col("fp").alias("id"))
     comp = connected_components(edges, nodes).select(F.col("id").alias("fp"), "comp")
-    by_print = distinct.join(comp, "fp")
+    by_print = distinct.join(comp.hint("merge"), "fp")
     least = by_print.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_print = durable(by_print.join(least, "comp").select("fp", "component_id", "n"), "simhash")
+    of_print = durable(by_print.join(least.hint("merge"), "comp").select("fp", "component_id", "n"), "simhash")
     return share_join(prints, of_print, ["fp"]).select("doc_id", "rhash", "fp", F.when(
         F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))

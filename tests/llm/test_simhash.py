@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from alarmloom.llm import queries, simhash
-from alarmloom.llm.common import share_join
+from alarmloom.llm.common import GUESSED_LIMIT, share_join, tune
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 U64 = 2**64 - 1
@@ -113,3 +113,24 @@ def test_a_third_of_all_rows_in_one_key(spark, monkeypatch):
     hot = next(r["fp"] for r in want if r["doc_id"] == 0)
     parts = joined[-1].filter(f"fp = {hot}").selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
     assert sum(r["count"] for r in parts) == 200 and max(r["count"] for r in parts) <= 100
+
+
+def test_what_an_explode_repeats_is_not_broadcast(spark, monkeypatch):
+    """Spark sizes 64 variants of a fingerprint like one row; its default limit of 10 MB would send hundreds of MB through the driver."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    made = simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda df, label: made(plan(df), label))
+    prints = spark.range(200).selectExpr("id AS fp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        assert plan(simhash.links(prints, 4)).count()
+        assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+        tune(spark)
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == str(GUESSED_LIMIT)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        tune(spark)
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
